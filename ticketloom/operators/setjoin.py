@@ -1,0 +1,307 @@
+"""Exact similarity self-join of word sets at a Jaccard threshold.
+
+Several global token orders filter the candidates before any pair is verified.
+Under order 1 (rare words first, by a fixed-size frequency sketch) two sets
+that reach the threshold share at least one word of their prefixes, at least
+two of prefixes longer by one, and so on; groups that are large under the
+first shared word are therefore split by the second and third shared word.
+Orders 2 and 3 put either half of the hash space first: a near pair differs in
+few words of those prefixes, which 64-bit parities of each bound from below.
+A pair must pass all orders, the size and the position filter before its word
+sets are compared. All filters are necessary conditions, so no pair is lost.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ticketloom.functions.words import digest, hashed, words
+
+#: Counters of the frequency sketch: 4 MB in every process whatever the input.
+SKETCH_BITS = 22
+#: A group of more than this many sets is split by its next shared word.
+SMALL_GROUP = 32
+#: A word in more sets than this is shuffled by word pairs, so that no task gets all its sets.
+HOT_WORD = 1 << 17
+
+EMITTED = "g bigint, h1 bigint, h2 bigint, n int, pos int, o1 bigint, o2 bigint, role int, sfx binary"
+PAIRS = "a1 bigint, a2 bigint, b1 bigint, b2 bigint"
+
+
+def record_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h1, h2, t): the distinct words of each text as hashes and 128 bits for the set. Rows with a null id are left out."""
+    t = F.array_sort(F.array_distinct(hashed(words(F.col(text_col)))))
+    base = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), t.alias("t"))
+    h1, h2 = digest(F.col("t"))
+    return base.select("id", h1.alias("h1"), h2.alias("h2"), "t")
+
+
+def distinct_sets(records: DataFrame, *more) -> DataFrame:
+    """One row per set that has words: (h1, h2, t, rep, cnt); rep is its smallest id. Copies are combined before the shuffle."""
+    return records.where(F.size("t") > 0).groupBy("h1", "h2").agg(F.first("t").alias("t"), F.min("id").alias("rep"), F.count("*").alias("cnt"), *more)
+
+
+def frequency_sketch(hashes: DataFrame, column: str) -> bytes:
+    """Counts of hashes in 2**SKETCH_BITS counters, as 8 times their binary logarithm; 0: seen once at most."""
+    mask = (1 << SKETCH_BITS) - 1
+    counted = hashes.select(F.col(column).bitwiseAND(F.lit(mask)).cast("int").alias("k")).groupBy("k").count()
+    out = np.zeros(1 << SKETCH_BITS, np.uint8)
+    rows = counted.where("count > 1").select("k", F.least(F.round(8 * F.log2("count")), F.lit(255)).cast("int").alias("q")).toArrow()
+    out[rows["k"].to_numpy()] = rows["q"].to_numpy().astype(np.uint8)
+    return out.tobytes()
+
+
+def _alpha(n: np.ndarray, m: np.ndarray, t: float) -> np.ndarray:
+    return np.ceil(t / (1 + t) * (n + m) - 1e-9).astype(np.int64)
+
+
+def _prefix(n: np.ndarray, t: float) -> np.ndarray:
+    return n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
+
+
+def _depth(t: float) -> int:
+    """So many words are shared by any two different sets at the threshold, three at most."""
+    return 3 if t >= 1 else max(1, min(3, math.ceil(t / (1 - t) - 1e-9)))
+
+
+def parities(flat: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per list of hashes (start: where each begins, none empty), one parity word for either half of the hash space."""
+    bit = np.uint64(1) << ((flat >> 40) & 63).astype(np.uint64)
+    half = (flat >> 46) & 1 == 1
+    return tuple(np.bitwise_xor.reduceat(np.where(x, bit, np.uint64(0)), start).view(np.int64) for x in (half, ~half))  # type: ignore[return-value]
+
+
+def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """All starts[i] .. starts[i] + counts[i] - 1, one after the other."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts) + np.repeat(starts, counts)
+
+
+def binary_column(words32: np.ndarray, counts: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32) * 4
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(words32.astype(np.uint32).tobytes())])
+
+
+def rows_in_slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
+def _emitter(sketch, t: float):
+    depth = _depth(t)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity = np.frombuffer(sketch.value, np.uint8)
+        mask = (1 << SKETCH_BITS) - 1
+        hot = min(255, round(8 * math.log2(HOT_WORD)))
+        for b in rows_in_slices(batches, 4096):
+            lists = b.column("t")
+            n = np.asarray(lists.value_lengths(), np.int64)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            if not len(flat):
+                continue
+            row = np.repeat(np.arange(len(n)), n)
+            q = rarity[flat & mask]
+            order = np.lexsort((flat, row * 256 + q))
+            flat, q = flat[order], q[order]
+            start = np.cumsum(n) - n
+            o1, o2 = parities(flat, start)
+            pos = np.arange(len(flat)) - start[row]
+            prefix = _prefix(n, t)
+            #: In the suffix are the words that can be the second or third one shared.
+            last = np.minimum(n, prefix + depth - 1)
+            first = np.flatnonzero((pos < prefix[row]) & (q > 0) & ~((q > hot) & (depth > 1)))
+            key, at, own = flat[first], first, pos[first]
+            lots = np.flatnonzero((pos < prefix[row]) & (q > hot) & (depth > 1))
+            if len(lots):
+                r = row[lots]
+                many = np.minimum(prefix[r] - pos[lots], n[r] - 1 - pos[lots])
+                second = ragged(lots + 1, many)
+                lots = np.repeat(lots, many)
+                key = np.concatenate([key, flat[lots] * np.int64(-7046029254386353131) + flat[second]])
+                at, own = np.concatenate([at, second]), np.concatenate([own, pos[lots]])
+            r = row[at]
+            left = np.maximum(0, start[r] + last[r] - at - 1)
+            words32 = flat[ragged(at + 1, left)] & 0xFFFFFFFF
+            take = pa.array(r)
+            role = b.column("role").to_numpy()[r] if "role" in b.schema.names else np.zeros(len(r), np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key), b.column("h1").take(take), b.column("h2").take(take), pa.array(n[r].astype(np.int32)), pa.array(own.astype(np.int32)), pa.array(o1[r]), pa.array(o2[r]), pa.array(role.astype(np.int32)), binary_column(words32, left)],
+                names=["g", "h1", "h2", "n", "pos", "o1", "o2", "role", "sfx"],
+            )
+
+    return emit
+
+
+class Group:
+    """Columns of the sets in one or more whole groups."""
+
+    def __init__(self, b: pa.Table | pa.RecordBatch):
+        for c in ("g", "h1", "h2", "n", "pos", "o1", "o2", "role"):
+            setattr(self, c, b.column(c).to_numpy())
+        self.n = self.n.astype(np.int64)
+        self.o1, self.o2 = self.o1.view(np.uint64), self.o2.view(np.uint64)
+        sfx = b.column("sfx")
+        sfx = sfx.combine_chunks() if isinstance(sfx, pa.ChunkedArray) else sfx
+        sfx = sfx.chunk(0) if isinstance(sfx, pa.ChunkedArray) else sfx
+        offsets = np.frombuffer(sfx.buffers()[1], np.int32)[sfx.offset : sfx.offset + len(sfx) + 1].astype(np.int64)
+        data = sfx.buffers()[2]
+        self.sfx = np.frombuffer(data, np.uint32) if data is not None and data.size else np.zeros(0, np.uint32)
+        self.lo, self.hi = offsets[:-1] // 4, offsets[1:] // 4
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal keys begin, and their lengths."""
+    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return begin, np.diff(np.concatenate([begin, [len(keys)]]))
+
+
+def _within(x: Group, rows: np.ndarray, begin: np.ndarray, size: np.ndarray, t: float, apart: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows in the runs that pass every filter."""
+    end = np.repeat(begin + size, size)
+    active = ragged(begin, size)
+    k = 1
+    while True:
+        keep = active + k < end
+        active, end = active[keep], end[keep]
+        if not len(active):
+            return
+        i, j = rows[active], rows[active + k]
+        if apart:
+            roles = (x.role[i] | x.role[j]) == 3
+            i, j = i[roles], j[roles]
+        ni, nj = x.n[i], x.n[j]
+        alpha = _alpha(ni, nj, t)
+        far = np.bitwise_count(x.o1[i] ^ x.o1[j]).astype(np.int64) + np.bitwise_count(x.o2[i] ^ x.o2[j])
+        ok = (far <= ni + nj - 2 * alpha) & (np.minimum(ni, nj) >= t * np.maximum(ni, nj) - 1e-9)
+        if not apart or len(x.sfx):
+            ok &= 1 + np.minimum(ni - x.pos[i], nj - x.pos[j]) - 1 >= alpha
+        if ok.any():
+            yield i[ok], j[ok]
+        k += 1
+
+
+def group_pairs(x: Group, t: float, apart: bool = False, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs among the sets of each group: large groups are split by the next shared word."""
+    depth = _depth(t) if depth is None else depth
+    found_i, found_j = [], []
+    rows, keys, at, level = np.arange(len(x.g)), x.g, x.lo, 1
+    prefix = _prefix(x.n, t)
+    while len(rows):
+        begin, size = _runs(keys)
+        small = size > 1
+        if level < depth:
+            small &= size <= SMALL_GROUP
+        for i, j in _within(x, rows, begin[small], size[small], t, apart):
+            found_i.append(i)
+            found_j.append(j)
+        if level >= depth:
+            break
+        large = size > SMALL_GROUP
+        pick = ragged(begin[large], size[large])
+        run = np.repeat(np.arange(large.sum()), size[large])
+        r, a = rows[pick], at[pick]
+        many = np.maximum(0, np.minimum(x.hi[r], x.lo[r] + prefix[r] - x.pos[r] + level - 1) - a)
+        s = ragged(a, many)
+        keys = (np.repeat(run, many).astype(np.int64) << 32) | x.sfx[s].astype(np.int64)
+        order = np.argsort(keys)
+        keys, rows, at = keys[order], np.repeat(r, many)[order], (s + 1)[order]
+        level += 1
+    if not found_i:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i, j = np.concatenate(found_i), np.concatenate(found_j)
+    both = np.unique(np.minimum(i, j) * np.int64(len(x.g)) + np.maximum(i, j))
+    return both // len(x.g), both % len(x.g)
+
+
+def _pairer(t: float, apart: bool, depth: int | None):
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+
+        def solved(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            x = Group(table)
+            i, j = group_pairs(x, t, apart, depth)
+            if len(i):
+                first = (x.h1[i] < x.h1[j]) | ((x.h1[i] == x.h1[j]) & (x.h2[i] < x.h2[j]))
+                a, b = np.where(first, i, j), np.where(first, j, i)
+                same = (x.h1[a] == x.h1[b]) & (x.h2[a] == x.h2[b])
+                a, b = a[~same], b[~same]
+                every = np.unique(np.stack([x.h1[a], x.h2[a], x.h1[b], x.h2[b]]), axis=1) if len(a) else np.zeros((4, 0), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in every], names=["a1", "a2", "b1", "b2"])
+
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows < 40_000:
+                continue
+            table = pa.Table.from_batches(held)
+            g = table.column("g").to_numpy()
+            cut = int(np.searchsorted(g, g[-1]))  # the last group may go on
+            if cut:
+                yield from solved(table.slice(0, cut).combine_chunks())
+                held = table.slice(cut).combine_chunks().to_batches()
+                rows = len(g) - cut
+        if held:
+            yield from solved(pa.Table.from_batches(held).combine_chunks())
+
+    return pairs
+
+
+def candidates(emitted: DataFrame, t: float, apart: bool = False, depth: int | None = None) -> DataFrame:
+    """Pairs of one group that pass all filters, once each."""
+    return emitted.repartition("g").sortWithinPartitions("g").mapInArrow(_pairer(t, apart, depth), PAIRS).distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
+    """(rep_a, rep_b, shared, n_a, n_b) of the pairs whose sets reach the threshold."""
+    a = sets.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("t").alias("ta"), F.col("rep").alias("rep_a"))
+    b = sets.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("t").alias("tb"), F.col("rep").alias("rep_b"))
+    both = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
+    both = both.select("rep_a", "rep_b", F.size(F.array_intersect("ta", "tb")).alias("shared"), F.size("ta").alias("n_a"), F.size("tb").alias("n_b"))
+    return both.where(F.col("shared") >= F.lit(t) * (F.col("n_a") + F.col("n_b") - F.col("shared")) - 1e-9)
+
+
+def near_pairs(sets: DataFrame, t: float) -> DataFrame:
+    """All pairs of different sets at a Jaccard similarity of t or more, each once, as a table."""
+    spark = sets.sparkSession
+    sketch = spark.sparkContext.broadcast(frequency_sketch(sets.select(F.explode("t").alias("w")), "w"))
+    emitted = sets.select("h1", "h2", "t").mapInArrow(_emitter(sketch, t), EMITTED)
+    return verified(candidates(emitted, t), sets, t)
+
+
+def near_groups(df: DataFrame, id_col: str = "record_id", text_col: str = "text_clean", threshold: float = 0.7) -> DataFrame:
+    """(id_col, group_id): the groups of two or more records that are near, directly or through others.
+
+    Near: of the distinct words of the two texts together, at least threshold
+    occur in both. Exact: copies of a word set are one set (so a hot text costs
+    no pairs), and no pair of different sets is lost. Null, empty and wordless
+    texts are near nothing; null ids are left out; a repeated id is one record;
+    an empty table gives an empty one. Only the two named columns are read.
+    """
+    from ticketloom.operators.components import connected_components
+    from ticketloom.session import discard, written
+
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be above 0 and at most 1")
+    records = record_sets(df, id_col, text_col).persist(StorageLevel.MEMORY_AND_DISK)
+    sets = distinct_sets(records).persist(StorageLevel.MEMORY_AND_DISK)
+    pairs = written(near_pairs(sets, threshold), "near")
+    parts = connected_components(pairs, "rep_a", "rep_b")
+    grouped = sets.select("h1", "h2", "rep", "cnt").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
+    grouped = grouped.where("cnt > 1 or component is not null").select("h1", "h2", F.coalesce("component", "rep").alias("group_id"))
+    found = records.select("id", "h1", "h2").join(grouped, ["h1", "h2"]).select("id", "group_id").distinct()
+    kept = written(found, "groups")
+    sizes = kept.groupBy("group_id").count().where("count > 1").select("group_id")
+    sets.unpersist()
+    records.unpersist()
+    discard(pairs)
+    return kept.join(sizes, "group_id").select(F.col("id").alias(id_col), "group_id")

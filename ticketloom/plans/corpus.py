@@ -1,0 +1,20 @@
+"""Queries of the general training-data operators: p1, p2 and p5."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ticketloom.operators.setjoin import near_groups
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """record_id, group_id of every prepared record in a group of two or more near records."""
+    return near_groups(_table(spark, sf, "customer_it_support_prepared"))
+
+
+QUERIES = {"p2_found": p2_found}
+ORACLES: dict[str, str] = {}
