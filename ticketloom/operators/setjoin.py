@@ -31,8 +31,10 @@ SMALL_GROUP = 32
 #: A word in more sets than this is shuffled by word pairs, so that no task gets all its sets.
 HOT_WORD = 1 << 17
 
-EMITTED = "g bigint, h1 bigint, h2 bigint, n int, pos int, o1 bigint, o2 bigint, role int, sfx binary"
-PAIRS = "a1 bigint, a2 bigint, b1 bigint, b2 bigint"
+#: g: the shared item; n: words of the set; pos: words before g under order 1; room: items from g to the end of the prefix;
+#: need: items that a partner shares at least; size: words in g; o1, o2: parities; sfx: 32 bits of each item after g.
+EMITTED = "g bigint, h1 bigint, h2 bigint, n int, pos int, room int, need int, size int, o1 bigint, o2 bigint, role int, sfx binary"
+PAIRS = "a1 bigint, a2 bigint, b1 bigint, b2 bigint, shared bigint"
 
 
 def record_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -95,6 +97,11 @@ def rows_in_slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.
             yield b.slice(i, rows)
 
 
+def emitted_batch(key, h1, h2, ints: dict[str, np.ndarray], o1, o2, role, sfx) -> pa.RecordBatch:
+    small = [pa.array(x.astype(np.int32)) for x in ints.values()]
+    return pa.RecordBatch.from_arrays([pa.array(key), h1, h2, *small, pa.array(o1), pa.array(o2), pa.array(role.astype(np.int32)), sfx], names=["g", "h1", "h2", *ints, "o1", "o2", "role", "sfx"])
+
+
 def _emitter(sketch, t: float):
     depth = _depth(t)
 
@@ -132,11 +139,8 @@ def _emitter(sketch, t: float):
             left = np.maximum(0, start[r] + last[r] - at - 1)
             words32 = flat[ragged(at + 1, left)] & 0xFFFFFFFF
             take = pa.array(r)
-            role = b.column("role").to_numpy()[r] if "role" in b.schema.names else np.zeros(len(r), np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key), b.column("h1").take(take), b.column("h2").take(take), pa.array(n[r].astype(np.int32)), pa.array(own.astype(np.int32)), pa.array(o1[r]), pa.array(o2[r]), pa.array(role.astype(np.int32)), binary_column(words32, left)],
-                names=["g", "h1", "h2", "n", "pos", "o1", "o2", "role", "sfx"],
-            )
+            ints = {"n": n[r], "pos": own, "room": prefix[r] - pos[at], "need": np.full(len(r), depth), "size": np.ones(len(r))}
+            yield emitted_batch(key, b.column("h1").take(take), b.column("h2").take(take), ints, o1[r], o2[r], np.zeros(len(r)), binary_column(words32, left))
 
     return emit
 
@@ -145,7 +149,7 @@ class Group:
     """Columns of the sets in one or more whole groups."""
 
     def __init__(self, b: pa.Table | pa.RecordBatch):
-        for c in ("g", "h1", "h2", "n", "pos", "o1", "o2", "role"):
+        for c in ("g", "h1", "h2", "n", "pos", "room", "need", "size", "o1", "o2", "role"):
             setattr(self, c, b.column(c).to_numpy())
         self.n = self.n.astype(np.int64)
         self.o1, self.o2 = self.o1.view(np.uint64), self.o2.view(np.uint64)
@@ -182,61 +186,67 @@ def _within(x: Group, rows: np.ndarray, begin: np.ndarray, size: np.ndarray, t:
         alpha = _alpha(ni, nj, t)
         far = np.bitwise_count(x.o1[i] ^ x.o1[j]).astype(np.int64) + np.bitwise_count(x.o2[i] ^ x.o2[j])
         ok = (far <= ni + nj - 2 * alpha) & (np.minimum(ni, nj) >= t * np.maximum(ni, nj) - 1e-9)
-        if not apart or len(x.sfx):
-            ok &= 1 + np.minimum(ni - x.pos[i], nj - x.pos[j]) - 1 >= alpha
+        ok &= np.minimum(ni - x.pos[i], nj - x.pos[j]) >= alpha
         if ok.any():
             yield i[ok], j[ok]
         k += 1
 
 
-def group_pairs(x: Group, t: float, apart: bool = False, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs among the sets of each group: large groups are split by the next shared word."""
-    depth = _depth(t) if depth is None else depth
-    found_i, found_j = [], []
+def group_pairs(x: Group, t: float, apart: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs among the sets of each group, by row; large groups are split by the next shared item.
+
+    Sets that need to share no more than level items with a partner are
+    compared before the split, with all that are not much larger.
+    """
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     rows, keys, at, level = np.arange(len(x.g)), x.g, x.lo, 1
-    prefix = _prefix(x.n, t)
     while len(rows):
         begin, size = _runs(keys)
-        small = size > 1
-        if level < depth:
-            small &= size <= SMALL_GROUP
-        for i, j in _within(x, rows, begin[small], size[small], t, apart):
-            found_i.append(i)
-            found_j.append(j)
-        if level >= depth:
+        small = (size > 1) & ((size <= SMALL_GROUP) | (level >= 3))
+        found += _within(x, rows, begin[small], size[small], t, apart)
+        if level >= 3:
             break
         large = size > SMALL_GROUP
         pick = ragged(begin[large], size[large])
         run = np.repeat(np.arange(large.sum()), size[large])
         r, a = rows[pick], at[pick]
-        many = np.maximum(0, np.minimum(x.hi[r], x.lo[r] + prefix[r] - x.pos[r] + level - 1) - a)
+        few = x.need[r] <= level
+        if few.any():
+            most = np.zeros(large.sum(), np.int64)
+            np.maximum.at(most, run[few], np.ceil(x.n[r[few]] / t).astype(np.int64))
+            near = x.n[r] <= most[run]
+            begin, size = _runs(run[near])
+            found += ((i, j) for i, j in _within(x, r[near], begin, size, t, apart) if len(i))
+        many = np.maximum(0, np.minimum(x.hi[r], x.lo[r] + x.room[r] + level - 1) - a)
         s = ragged(a, many)
         keys = (np.repeat(run, many).astype(np.int64) << 32) | x.sfx[s].astype(np.int64)
         order = np.argsort(keys)
         keys, rows, at = keys[order], np.repeat(r, many)[order], (s + 1)[order]
         level += 1
-    if not found_i:
+    if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    i, j = np.concatenate(found_i), np.concatenate(found_j)
+    i, j = (np.concatenate(c) for c in zip(*found))
     both = np.unique(np.minimum(i, j) * np.int64(len(x.g)) + np.maximum(i, j))
     return both // len(x.g), both % len(x.g)
 
 
-def _pairer(t: float, apart: bool, depth: int | None):
+def _pairer(t: float, apart: bool):
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
 
         def solved(table: pa.Table) -> Iterator[pa.RecordBatch]:
             x = Group(table)
-            i, j = group_pairs(x, t, apart, depth)
+            i, j = group_pairs(x, t, apart)
             if len(i):
                 first = (x.h1[i] < x.h1[j]) | ((x.h1[i] == x.h1[j]) & (x.h2[i] < x.h2[j]))
                 a, b = np.where(first, i, j), np.where(first, j, i)
                 same = (x.h1[a] == x.h1[b]) & (x.h2[a] == x.h2[b])
                 a, b = a[~same], b[~same]
-                every = np.unique(np.stack([x.h1[a], x.h2[a], x.h1[b], x.h2[b]]), axis=1) if len(a) else np.zeros((4, 0), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in every], names=["a1", "a2", "b1", "b2"])
+                if len(a):
+                    every, which = np.unique(np.stack([x.h1[a], x.h2[a], x.h1[b], x.h2[b]]), axis=1, return_inverse=True)
+                    shared = np.bincount(which.ravel(), x.size[a]).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*every, shared)], names=["a1", "a2", "b1", "b2", "shared"])
 
         for b in batches:
             held.append(b)
@@ -256,16 +266,17 @@ def _pairer(t: float, apart: bool, depth: int | None):
     return pairs
 
 
-def candidates(emitted: DataFrame, t: float, apart: bool = False, depth: int | None = None) -> DataFrame:
-    """Pairs of one group that pass all filters, once each."""
-    return emitted.repartition("g").sortWithinPartitions("g").mapInArrow(_pairer(t, apart, depth), PAIRS).distinct()
+def candidates(emitted: DataFrame, t: float, apart: bool = False) -> DataFrame:
+    """Pairs of one group that pass all filters, once each; shared: words in the prefix items found in both."""
+    pairs = emitted.repartition("g").sortWithinPartitions("g").mapInArrow(_pairer(t, apart), PAIRS)
+    return pairs.groupBy("a1", "a2", "b1", "b2").agg(F.sum("shared").alias("shared"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     """(rep_a, rep_b, shared, n_a, n_b) of the pairs whose sets reach the threshold."""
     a = sets.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("t").alias("ta"), F.col("rep").alias("rep_a"))
     b = sets.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("t").alias("tb"), F.col("rep").alias("rep_b"))
-    both = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
+    both = pairs.drop("shared").join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
     both = both.select("rep_a", "rep_b", F.size(F.array_intersect("ta", "tb")).alias("shared"), F.size("ta").alias("n_a"), F.size("tb").alias("n_b"))
     return both.where(F.col("shared") >= F.lit(t) * (F.col("n_a") + F.col("n_b") - F.col("shared")) - 1e-9)
 
