@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ticketloom.operators.group_split import mixed_sets, split_shares, stratified_group_split
+from ticketloom.operators.overlap import cross_split_pairs
 from ticketloom.operators.setjoin import near_groups
 
 
@@ -11,10 +14,61 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """record_id, set_id of tied records whose set has no single semantic group id."""
+    return mixed_sets(_table(spark, sf, "customer_it_support_prepared"))
+
+
+def p1_split(spark: SparkSession, sf: str) -> DataFrame:
+    """record_id, set_id, label, split of every prepared record."""
+    return stratified_group_split(_table(spark, sf, "customer_it_support_prepared"))
+
+
+def p1_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares reached, per split and priority."""
+    return split_shares(p1_split(spark, sf))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """record_id, group_id of every prepared record in a group of two or more near records."""
     return near_groups(_table(spark, sf, "customer_it_support_prepared"))
 
 
-QUERIES = {"p2_found": p2_found}
-ORACLES: dict[str, str] = {}
+def p5_overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    """record_id_a, record_id_b, jaccard, overlap of near pairs across training and evaluation."""
+    return cross_split_pairs(_table(spark, sf, "customer_it_support_prepared"), _table(spark, sf, "split_assignments"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p5_overlaps(spark, sf).select("record_id_a", "record_id_b")
+
+
+def p5_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs and touched evaluation records per split and version of the evaluation record."""
+    pairs = p5_overlaps(spark, sf)
+    splits = _table(spark, sf, "split_assignments").where("source_row_id is not null and split in ('validation', 'holdout')").select("source_row_id", "split").distinct()
+    version = _table(spark, sf, "aa_dataset_tickets").where("source_row_id is not null").groupBy("source_row_id").agg(F.min("version").alias("version"))
+    of = _table(spark, sf, "customer_it_support_prepared").select("record_id", "source_row_id").join(splits, "source_row_id").join(version, "source_row_id", "left").select(F.col("record_id").alias("e"), "split", "version")
+    ends = pairs.select(F.explode(F.array("record_id_a", "record_id_b")).alias("e"))
+    return ends.join(of, "e").groupBy("split", "version").agg(F.count("*").alias("pairs"), F.countDistinct("e").alias("eval_records"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_split": p1_split, "p1_shares": p1_shares, "p2_found": p2_found, "p5_found": p5_found, "p5_overlaps": p5_overlaps, "p5_counts": p5_counts}
+
+#: Recursive closure over the ids, as far as SQL goes: the sets' edges are the pairs (id, smallest id with that entity).
+_P1 = """
+WITH RECURSIVE r AS (
+  SELECT record_id, nullif(regexp_extract(lower(semantic_group_id), '([0-9a-f]{40})', 1), '') AS s, nullif(regexp_extract(lower(text_group_id), '([0-9a-f]{40})', 1), '') AS t
+  FROM customer_it_support_prepared WHERE record_id IS NOT NULL),
+hub AS (
+  SELECT record_id AS a, min(record_id) OVER (PARTITION BY s) AS b FROM r WHERE s IS NOT NULL
+  UNION SELECT record_id, min(record_id) OVER (PARTITION BY t) FROM r WHERE t IS NOT NULL),
+e AS (SELECT a, b FROM hub WHERE a <> b UNION SELECT b, a FROM hub WHERE a <> b),
+reach(v, l) AS (
+  SELECT record_id, record_id FROM r WHERE record_id IN (SELECT least(a, b) FROM e) OR record_id NOT IN (SELECT a FROM e)
+  UNION SELECT e.b, reach.l FROM reach JOIN e ON reach.v = e.a),
+sets AS (SELECT v AS record_id, min(l) AS set_id FROM reach GROUP BY v)
+SELECT record_id, set_id FROM sets WHERE set_id IN (
+  SELECT set_id FROM sets JOIN r USING (record_id) GROUP BY set_id HAVING count(*) > 1 AND (count(DISTINCT s) <> 1 OR count(s) < count(*)))
+"""
+ORACLES: dict[str, str] = {"p1_found": _P1}
