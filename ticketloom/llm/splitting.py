@@ -16,51 +16,58 @@ from ticketloom.llm.tokens import FOLDER, NAME, Encoder, encoded, encoder, slice
 HARD, WORD, SENTENCE, LINE, TURN, PARAGRAPH = range(6)
 KINDS = ("hard", "word", "sentence", "line", "turn", "paragraph")
 
-_WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-#: A run of white space that begins before an ASCII blank.
-_RUN = re.compile(rb"[ \t\r\n\x0b\x0c]+")
 _SPEAKER = re.compile(rb"[^\s:][^\n:]{0,38}:(?=\s)|\[?\d{1,2}:\d{2}")
-_STOP = re.compile(rb"(?:[.!?]|\xe2\x80\xa6|\xe3\x80\x82)(?:[\"')\]]|\xe2\x80[\x99\x9c\x9d]|\xc2\xbb)*\Z")
-
-
-def boundaries(text: bytes, token_ends: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, tokens, kind) of the places where text may be cut, both ends included.
-
-    A natural boundary lies after a visible character and before white space:
-    there the tokenizer ends a piece whatever stands around, so the tokens of a
-    part are those of the whole. In stretches of more than reach tokens without
-    one, every end of a token that is one of a character can be a hard cut.
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \t\r\n\x0b\x0c")] = True
+_STOP = np.zeros(256, bool)
+_STOP[list(b".!?")] = True
+_CLOSER = np.zeros(256, bool)
+_CLOSER[list(b"\"')]")] = True
+
+
+def natural_boundaries(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places after a visible character and before ASCII white space in the bytes of many texts, and their kinds."""
+    if len(data) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    blank = _BLANK[data]
+    place = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
+    end = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+    end = np.append(end, len(data))[np.searchsorted(end, place, "right")]
+    b1, b2, b3 = data[place - 1], data[np.maximum(place - 2, 0)], data[np.maximum(place - 3, 0)]
+    wide = ((b2 == 0xC2) & ((b1 == 0x85) | (b1 == 0xA0))) | ((b3 == 0xE2) & (b2 == 0x80) & ((b1 <= 0x8A) | (b1 == 0xA8) | (b1 == 0xA9) | (b1 == 0xAF)))
+    wide |= ((b3 == 0xE1) & (b2 == 0x9A) & (b1 == 0x80)) | ((b3 == 0xE2) & (b2 == 0x81) & (b1 == 0x9F)) | ((b3 == 0xE3) & (b2 == 0x80) & (b1 == 0x80))
+    feed = (data == 10) | ((data == 13) & (np.append(data[1:], 0) != 10))
+    lines = np.concatenate([[0], np.cumsum(feed)])
+    lines = lines[end] - lines[place]
+    wide_stop = (b3 == 0xE2) & (b2 == 0x80) & (b1 == 0xA6) | (b3 == 0xE3) & (b2 == 0x80) & (b1 == 0x82)
+    stop = _STOP[b1] | (_CLOSER[b1] & _STOP[b2]) | (_CLOSER[b1] & _CLOSER[b2] & _STOP[b3]) | wide_stop
+    kind = np.where(lines > 1, PARAGRAPH, np.where(lines == 1, LINE, np.where(stop, SENTENCE, WORD)))
+    raw = data.tobytes()
+    single = np.flatnonzero(lines == 1)
+    kind[single] = [TURN if _SPEAKER.match(raw, e, e + 41) else LINE for e in end[single].tolist()]
+    return place[~wide], kind[~wide]
+
+
+def boundaries(text: bytes, token_ends: np.ndarray, reach: int, at: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, tokens, kind) of the places where text may be cut, both ends included; at, kind: its natural boundaries.
+
+    At a natural boundary the tokenizer ends a piece whatever stands around,
+    so the tokens of a part are those of the whole. In stretches of more than
+    reach tokens without one, every end of a token that is one of a character
+    can be a hard cut.
     """
-    wide = {m.end() for m in _WIDE_SPACE.finditer(text)}
-    at, kind = [0], [PARAGRAPH]
-    for m in _RUN.finditer(text):
-        p = m.start()
-        if p == 0 or p in wide or m.end() == len(text):
-            continue
-        run = m.group()
-        lines = run.replace(b"\r\n", b"\n").replace(b"\r", b"\n").count(b"\n")
-        if lines > 1:
-            k = PARAGRAPH
-        elif lines:
-            k = TURN if _SPEAKER.match(text, m.end()) else LINE
-        else:
-            k = SENTENCE if _STOP.search(text, max(0, p - 8), p) else WORD
-        at.append(p)
-        kind.append(k)
-    at.append(len(text))
-    kind.append(PARAGRAPH)
-    place, kinds = np.array(at, np.int64), np.array(kind, np.int64)
+    place = np.concatenate([[0], at, [len(text)]])
+    kinds = np.concatenate([[PARAGRAPH], kind, [PARAGRAPH]])
     tokens = np.searchsorted(token_ends, place, "left") + 1
-    tokens[place == 0] = 0
+    tokens[0] = 0
     whole = np.ones(len(place), bool)
     whole[1:] = token_ends[np.minimum(tokens[1:] - 1, len(token_ends) - 1)] == place[1:]
     place, kinds, tokens = place[whole], kinds[whole], tokens[whole]
-    extra = [np.arange(a + 1, b) for a, b in zip(tokens[:-1].tolist(), tokens[1:].tolist()) if b - a > reach]
-    if extra:
-        more = np.concatenate(extra)
+    wide = np.flatnonzero(np.diff(tokens) > reach)
+    if len(wide):
+        more = np.concatenate([np.arange(tokens[i] + 1, tokens[i + 1]) for i in wide.tolist()])
         where = token_ends[more - 1]
-        raw = np.frombuffer(text, np.uint8)
-        fit = (raw[where] & 0xC0) != 0x80
+        fit = (np.frombuffer(text, np.uint8)[where] & 0xC0) != 0x80
         more, where = more[fit], where[fit]
         place, kinds, tokens = np.concatenate([place, where]), np.concatenate([kinds, np.zeros(len(more), np.int64)]), np.concatenate([tokens, more])
         order = np.argsort(place, kind="stable")
@@ -103,12 +110,14 @@ def greedy_starts(start: np.ndarray) -> np.ndarray:
         reached, jump = grown, jump[jump]
 
 
-def pieces_of(text: bytes, ids: bytes, use: Encoder, most: int, overlap: int) -> list[tuple[int, int, int, int, int]]:
+def pieces_of(text: bytes, ids: bytes, use: Encoder, most: int, overlap: int, at: np.ndarray | None = None, kind: np.ndarray | None = None) -> list[tuple[int, int, int, int, int]]:
     """(first byte, end byte, tokens, tokens shared with the piece before, kind of its end) of each piece."""
+    if len(ids) // 4 <= most:
+        return [(0, len(text), len(ids) // 4, 0, PARAGRAPH)]
     ends = np.cumsum(use.token_bytes[np.frombuffer(ids, np.int32)])
-    if len(ends) <= most:
-        return [(0, len(text), len(ends), 0, PARAGRAPH)]
-    place, tokens, kinds = boundaries(text, ends, max(1, most // 4))
+    if at is None or kind is None:
+        at, kind = natural_boundaries(np.frombuffer(text, np.uint8))
+    place, tokens, kinds = boundaries(text, ends, max(1, most // 4), at, kind)
     end, nxt = successors(tokens, kinds, most, overlap)
     out, before = [], 0
     for s in greedy_starts(nxt).tolist():
@@ -148,12 +157,15 @@ def split_oversized(
         for b in slices(batches, 128):
             data, offsets = text_buffer(b.column(2))
             raw = data.tobytes()
+            places, kinds = natural_boundaries(data)
+            low, high = np.searchsorted(places, offsets[:-1], "right"), np.searchsorted(places, offsets[1:], "left")
             out: list[tuple] = []
             for i, (ids, a, z, source) in enumerate(zip(encoded(b.column(2), use), offsets[:-1].tolist(), offsets[1:].tolist(), b.column(1).to_pylist())):
                 if a == z:
                     continue
                 text = raw[a:z]
-                for no, (p, q, n, shared, k) in enumerate(pieces_of(text, ids, use, *table.get(source, fallback)), 1):
+                own = slice(low[i], high[i])
+                for no, (p, q, n, shared, k) in enumerate(pieces_of(text, ids, use, *table.get(source, fallback), places[own] - a, kinds[own]), 1):
                     out.append((i, no, n, shared, KINDS[k] if q < len(text) else "end", text[p:q].decode("utf-8", "replace")))
             if out:
                 row, no, n, shared, ends_at, text_ = zip(*out)

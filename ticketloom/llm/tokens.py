@@ -123,7 +123,8 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     column = column.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
-    return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
+    whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return whole[offsets[0] : offsets[-1]], offsets - offsets[0]  # a slice shares the buffer of its batch
 
 
 def cut_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
