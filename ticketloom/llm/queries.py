@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ticketloom.llm.language import detect_languages, label_defects
 from ticketloom.llm.mixing import mix, shares
+from ticketloom.llm.residue import residue, without_residue
 from ticketloom.llm.splitting import split_oversized
 from ticketloom.llm.tokens import encode
 
@@ -13,6 +15,28 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p4_languages(spark: SparkSession, sf: str) -> DataFrame:
+    """Language and confidence of every ticket's body, by stretch."""
+    return detect_languages(_table(spark, sf, "aa_dataset_tickets"), _table(spark, sf, "language_audit"), _table(spark, sf, "language_label_manual_review"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """source_row_id, segment_no, lang of tickets with a missing or wrong label or a mixed body."""
+    cases = label_defects(p4_languages(spark, sf)).select("source_row_id", "segment_no", "lang")
+    return cases.join(p6_found(spark, sf).select("source_row_id").distinct(), "source_row_id", "left_anti")
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """source_row_id and field of template residue, filler and error pages."""
+    return residue(_table(spark, sf, "aa_dataset_tickets"))
+
+
+def p6_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """The tickets without such a field."""
+    tickets = _table(spark, sf, "aa_dataset_tickets")
+    return without_residue(tickets, residue(tickets))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     """doc_id and the list of ids of its text."""
     return encode(_table(spark, sf, "documents"))
@@ -33,5 +57,5 @@ def p9_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split_oversized(_table(spark, sf, "documents"), _table(spark, sf, "size_limits"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_uses": p8_uses, "p8_shares": p8_shares, "p9_pieces": p9_pieces}
+QUERIES = {"p4_languages": p4_languages, "p4_found": p4_found, "p6_found": p6_found, "p6_clean": p6_clean, "p7_ids": p7_ids, "p8_uses": p8_uses, "p8_shares": p8_shares, "p9_pieces": p9_pieces}
 ORACLES: dict[str, str] = {}
