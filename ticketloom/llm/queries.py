@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ticketloom.llm.language import detect_languages, label_defects
 from ticketloom.llm.mixing import mix, shares
+from ticketloom.llm.pairs import broken_pairs
 from ticketloom.llm.residue import residue, without_residue
 from ticketloom.llm.splitting import split_oversized
 from ticketloom.llm.tokens import encode
@@ -15,6 +16,12 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """source_row_id and defect of tickets without a usable answer, those with template residue left out."""
+    tickets = _table(spark, sf, "aa_dataset_tickets")
+    return broken_pairs(tickets, _table(spark, sf, "language_audit")).join(residue(tickets).select("source_row_id").distinct(), "source_row_id", "left_anti")
+
+
 def p4_languages(spark: SparkSession, sf: str) -> DataFrame:
     """Language and confidence of every ticket's body, by stretch."""
     return detect_languages(_table(spark, sf, "aa_dataset_tickets"), _table(spark, sf, "language_audit"), _table(spark, sf, "language_label_manual_review"))
@@ -57,5 +64,5 @@ def p9_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split_oversized(_table(spark, sf, "documents"), _table(spark, sf, "size_limits"))
 
 
-QUERIES = {"p4_languages": p4_languages, "p4_found": p4_found, "p6_found": p6_found, "p6_clean": p6_clean, "p7_ids": p7_ids, "p8_uses": p8_uses, "p8_shares": p8_shares, "p9_pieces": p9_pieces}
+QUERIES = {"p3_found": p3_found, "p4_languages": p4_languages, "p4_found": p4_found, "p6_found": p6_found, "p6_clean": p6_clean, "p7_ids": p7_ids, "p8_uses": p8_uses, "p8_shares": p8_shares, "p9_pieces": p9_pieces}
 ORACLES: dict[str, str] = {}
