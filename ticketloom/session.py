@@ -22,6 +22,7 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "ticketloom"
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.warehouse.dir", os.path.join(tempfile.gettempdir(), "ticketloom-warehouse"))
