@@ -17,11 +17,11 @@ def running_sum(df: DataFrame, value: str, group: str, order: list[str], out: st
     is summed again. order must be a total order in each group. A null group is
     a group of its own; a null value counts as 0; no rows give no rows.
     """
-    parts = written(df.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()), "ranges")
-    totals = parts.groupBy("_part", group).agg(F.sum(F.coalesce(F.col(value), F.lit(0))).alias("_total"))
-    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0))).select(F.col("_part").alias("_p"), F.col(group).alias("_g"), "_before")
-    inside = Window.partitionBy("_part", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = parts.withColumn("_in", F.sum(F.coalesce(F.col(value), F.lit(0))).over(inside))
-    joined = local.join(offsets, (local["_part"] == offsets["_p"]) & local[group].eqNullSafe(offsets["_g"]))
-    return joined.withColumn(out, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before", "_p", "_g")
+    parts = written(df.repartitionByRange(group, *order).withColumn("_running_part", F.spark_partition_id()), "ranges")
+    totals = parts.groupBy("_running_part", group).agg(F.sum(F.coalesce(F.col(value), F.lit(0))).alias("_running_total"))
+    before = Window.partitionBy(group).orderBy("_running_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("_running_before", F.coalesce(F.sum("_running_total").over(before), F.lit(0))).select(F.col("_running_part").alias("_running_p"), F.col(group).alias("_running_g"), "_running_before")
+    inside = Window.partitionBy("_running_part", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = parts.withColumn("_running_in", F.sum(F.coalesce(F.col(value), F.lit(0))).over(inside))
+    joined = local.join(offsets, (local["_running_part"] == offsets["_running_p"]) & local[group].eqNullSafe(offsets["_running_g"]))
+    return joined.withColumn(out, F.col("_running_in") + F.col("_running_before")).drop("_running_part", "_running_in", "_running_before", "_running_p", "_running_g")
