@@ -30,6 +30,8 @@ ROUNDS = 4
 ALPHA = 0.1
 #: Share of a field's words that residue passages hold, at least.
 CONSISTS = 0.65
+#: Longer fields than this many characters are trusted for lorem ipsum only; the model judges them.
+LONG = 300
 PASSAGE, MARK = 0, 1
 
 # What the corpus' own anonymization writes, in any spelling of one edit at most.
@@ -69,6 +71,7 @@ _TAG = regex.compile(r"</?(?:html|body|h\d|hr|br|p|div|span|noscript|b|i|u|a|ul|
 _LITERAL = regex.compile(r"\\[nrt]")
 _CUT = regex.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 _WORD = regex.compile(r"\p{L}+|\d+")
+_DIGITS = regex.compile(r"\d+")
 _ids: dict[str, int] = {}
 
 
@@ -94,9 +97,13 @@ def _near_proper(inner: str) -> bool:
     return False
 
 
+_QUICK = ("{", "[", "<<", "@@", "__", "%", "&lt;")
+_FILLED = regex.compile(r"<[^<>]+ [^<>]+>")
+
+
 def placeholders(text: str) -> list[tuple[str, int, int]]:
     """(kind, begin, end) of each possible placeholder."""
-    if not any(c in text for c in "{[<%@_&"):
+    if not any(c in text for c in _QUICK) and not ("<" in text and _FILLED.search(text)):
         return []
     out = []
     for m in _MARK.finditer(text):
@@ -110,10 +117,9 @@ def placeholders(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def plain(text: str) -> str:
+def plain(text: str, found: list[tuple[str, int, int]] | None = None) -> str:
     """Text without markup, escapes and invisible characters; placeholders become a word."""
-    found = placeholders(text)
-    for _, a, b in reversed(found):
+    for _, a, b in reversed(placeholders(text) if found is None else found):
         text = f"{text[:a]} phmark {text[b:]}"
     if "\\" in text:
         text = _LITERAL.sub("\n", text)
@@ -121,14 +127,14 @@ def plain(text: str) -> str:
         text = _TAG.sub("\n", text)
     if "&" in text:
         text = html.unescape(text)
-    return _ZERO.sub("", text)
+    return text if text.isascii() else _ZERO.sub("", text)
 
 
-def passages(text: str) -> list[list[int]]:
+def passages(parts: list[str]) -> list[list[int]]:
     """Features of each passage that has words."""
     out = []
-    for p in _CUT.split(plain(text)):
-        w = [_id("0" if x[0].isdigit() else x) for x in _WORD.findall(p.lower())]
+    for p in parts:
+        w = [_ids.get(x) or _id(x) for x in _WORD.findall(_DIGITS.sub("0", p))]
         if w:
             out.append(w)
     return out
@@ -137,20 +143,25 @@ def passages(text: str) -> list[list[int]]:
 def trusted(text: str) -> bool:
     """Whether fixed patterns leave no doubt that text is residue."""
     found = placeholders(text)
+    flat = plain(text, found).lower()
+    return _trusted(text, found, flat, _CUT.split(flat))
+
+
+def _trusted(text: str, found: list[tuple[str, int, int]], flat: str, parts: list[str]) -> bool:
     if found and not _WORD.search("".join(text[x:y] for x, y in zip([0, *(m[2] for m in found)], [*(m[1] for m in found), len(text)]))):
         return True
-    flat = plain(text).lower()
-    parts = [p for p in _CUT.split(flat) if p.strip()]
-    if not parts or _OWN.search(flat):
+    if (len(flat) > LONG and "lorem ipsum" not in flat) or _OWN.search(flat) or not _TRUSTED.search(flat):
+        return False
+    parts = [p for p in parts if p.strip()]
+    if not 0 < len(parts) <= 12:
         return False
     words = [len(_WORD.findall(p)) for p in parts]
     hits = [n for p, n in zip(parts, words) if _TRUSTED.search(p)]
     return sum(hits) >= 0.4 * sum(words) or (len(hits) * 3 >= len(parts) and sum(words) <= 30)
 
 
-def mark_contexts(text: str, field: str) -> list[tuple[list[int], int]]:
+def mark_contexts(text: str, field: str, found: list[tuple[str, int, int]]) -> list[tuple[list[int], int]]:
     """Features around each possible placeholder, and 1 if it is trusted to be left over, -1 if to be reported, else 0."""
-    found = placeholders(text)
     out = []
     for kind, a, b in found:
         before = _WORD.findall(plain(text[max(0, a - 80) : a]).lower())[-6:]
@@ -173,10 +184,13 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for key, text in zip(b.column("id").to_pylist(), b.column(name).to_pylist()):
                 if not text:
                     continue
-                lists = passages(text)
+                found = placeholders(text)
+                flat = plain(text, found).lower()
+                parts = _CUT.split(flat)
+                lists = passages(parts)
                 if lists:
-                    add(key, name, PASSAGE, int(len(lists) <= 12 and trusted(text)), lists)
-                for features, sure in mark_contexts(text, name):
+                    add(key, name, PASSAGE, int(_trusted(text, found, flat, parts)), lists)
+                for features, sure in mark_contexts(text, name, found):
                     add(key, name, MARK, sure, [features])
         yield pa.RecordBatch.from_arrays(
             [pa.array(out["id"], pa.int64()), pa.array(out["field"], pa.string()), pa.array(out["model"], pa.int32()), pa.array(out["sure"], pa.int32()), pa.array(out["f"], pa.list_(pa.int32())), pa.array(out["n"], pa.list_(pa.int32()))], names=list(out),
