@@ -4,25 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketloom.llm.language import Judge, dictionaries, sentences
+from ticketloom.llm.language import Judge, dictionaries
 from ticketloom.llm.residue import plain
 from ticketloom.session import written
 
 #: Words of a shingle; share of the response's shingles, and of its words in common order, that make a copy.
 SHINGLE = 3
 CONTAINED = 0.5
+#: Share of the response's blank-separated strings that the prompt has, at least, for a copy to be looked for.
+LIKE = 0.25
 COMMON_ORDER = 0.7
 #: Share of a refusal template's words that a sentence has in common order with it, and the other way round.
 ALIGNED = 0.72
-#: Bytes by which a response's language must win over the prompt's, and share of its size.
+#: Characters beyond which a response does not only decline.
+LONG_REFUSAL = 240
+#: Bytes by which the languages of a prompt and of its response must win to be compared.
 FOREIGN_BYTES = 4
-FOREIGN_SHARE = 0.04
 
 # Words that stand for nothing.
 NOTHING = frozenset("n a na nan nil none null nothing no answer empty blank undefined tbd todo keine kein antwort nichts leer entfällt ohne nada ninguna ninguno rien aucun aucune néant niente nessuna nessuno vuoto geen niets leeg nenhum nenhuma vazio sem".split())
@@ -178,21 +180,25 @@ def content(text: str) -> tuple[str, bool]:
     """A response without markup, salutation and sign-off, and whether it had a sign-off or ends with a reference."""
     flat = plain(text).strip()
     body = _BEGINS.sub("", flat, count=1)
-    closed = bool(_REFERRED.search(body[-80:]))
+    last = body[-1:]
+    closed = (last.isalnum() or last in ")]") and bool(_REFERRED.search(body[-80:]))
     tail = body[-160:]
-    m = _ENDS.search(tail)
+    #: A long text that ends as a sentence needs no search for a sign-off.
+    m = _ENDS.search(tail) if len(body) < 160 or last not in ".!?" else None
     if m:
         body, closed = body[: len(body) - len(tail) + m.start()], True
     return body.strip(), closed
 
 
 def is_empty(body: str) -> bool:
-    words = [w.lower() for w in _LETTERS.findall(_NAMES.sub(" ", body))]
-    return all(w in NOTHING for w in words)
+    text = _NAMES.sub(" ", body) if "<" in body else body
+    return all(m.group().lower() in NOTHING for m in _LETTERS.finditer(text))
 
 
 def is_refusal(body: str) -> bool:
     """Whether every sentence declines or is a courtesy, one of them declining."""
+    if len(body) > LONG_REFUSAL:
+        return False
     parts = [p for p in _CUT.split(body.lower().replace("’", "'")) if _LETTERS.search(p)]
     if not 0 < len(parts) <= 4:
         return False
@@ -212,9 +218,10 @@ def is_truncated(body: str, closed: bool) -> bool:
     """Whether body breaks off: no end of a sentence, no sign-off and no reference at its end, or the number of an item without it."""
     if closed:
         return False
-    if _NUMBERED.search(body):
+    end = body[-40:]
+    if _NUMBERED.search(end):
         return True
-    return not _FINISHED.search(body) and len(_WORD.findall(body)) >= 4
+    return not _FINISHED.search(end) and len(_WORD.findall(body)) >= 4
 
 
 def is_copy(response: list[str], prompt: list[str]) -> bool:
@@ -237,22 +244,20 @@ def is_copy(response: list[str], prompt: list[str]) -> bool:
 class Languages:
     """Whether a response is in another language than its prompt."""
 
-    def __init__(self, judge: Judge, vocabulary: set[str]):
-        self._judge, self._vocabulary = judge, vocabulary
+    def __init__(self, judge: Judge):
+        self._judge, self._recent = judge, [1, 0]
 
     def foreign(self, response: str, prompt: str) -> bool:
-        answer = "\n".join(sentences(_BEGINS.sub("", response, count=1), self._vocabulary))
-        asked = "\n".join(sentences(prompt, self._vocabulary))
-        if len(answer) < 12 or len(asked) < 4:
+        asked, sure = self._judge.best(prompt, self._recent)
+        if sure < FOREIGN_BYTES:
             return False
-        ours, theirs = np.array(self._judge.costs(answer)), np.array(self._judge.costs(asked))
-        if ours.argmin() == theirs.argmin() or np.partition(theirs, 1)[1] - theirs.min() < FOREIGN_BYTES:
+        if asked != self._recent[0]:
+            self._recent = [asked, self._recent[0]]
+        said, win = self._judge.best(response, [asked])
+        if said == asked or win < FOREIGN_BYTES:
             return False
         langs, _, _ = self._judge.stretches(prompt)
-        if int(ours.argmin()) in langs or not langs:
-            return False
-        win = min(ours[k] for k in langs) - ours.min()
-        return win >= max(FOREIGN_BYTES, FOREIGN_SHARE * ours.min())
+        return said not in langs
 
 
 def defect(subject: str | None, body: str | None, answer: str | None, languages: Languages) -> str | None:
@@ -263,13 +268,14 @@ def defect(subject: str | None, body: str | None, answer: str | None, languages:
     if is_empty(own):
         return "empty"
     prompt = f"{subject or ''}\n{body or ''}"
-    if is_copy(_LETTERS.findall(own.lower()), _LETTERS.findall(plain(prompt).lower())):
+    mine = set(own.lower().split())
+    if len(mine & set(prompt.lower().split())) >= LIKE * len(mine) and is_copy(_LETTERS.findall(own.lower()), _LETTERS.findall(plain(prompt).lower())):
         return "copy"
     if is_refusal(own):
         return "refusal"
     if is_truncated(own, closed):
         return "truncated"
-    if body and languages.foreign(answer, body):
+    if body and languages.foreign(own, body):
         return "other_language"
     return None
 
@@ -285,8 +291,7 @@ def broken_pairs(tickets: DataFrame, audit: DataFrame, id_col: str = "source_row
     texts = tickets.sparkSession.sparkContext.broadcast(dictionaries(tickets, audit, id_col, [body_col, answer_col], label_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, vocabulary = texts.value
-        languages = Languages(Judge(known, vocabulary), vocabulary)
+        languages = Languages(Judge(*texts.value))
         for b in batches:
             kinds = [defect(s, p, a, languages) for s, p, a in zip(*(b.column(c).to_pylist() for c in ("subject", "body", "answer")))]
             at = [i for i, k in enumerate(kinds) if k]
