@@ -37,12 +37,12 @@ EMITTED = "g bigint, h1 bigint, h2 bigint, n int, pos int, room int, need int, s
 PAIRS = "a1 bigint, a2 bigint, b1 bigint, b2 bigint, shared bigint"
 
 
-def record_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h1, h2, t): the distinct words of each text as hashes and 128 bits for the set. Rows with a null id are left out."""
+def record_sets(df: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
+    """(id, h1, h2, t, keep): the distinct words of each text as hashes and 128 bits for the set. Rows with a null id are left out."""
     t = F.array_sort(F.array_distinct(hashed(words(F.col(text_col)))))
-    base = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), t.alias("t"))
+    base = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), t.alias("t"), *keep)
     h1, h2 = digest(F.col("t"))
-    return base.select("id", h1.alias("h1"), h2.alias("h2"), "t")
+    return base.select("id", h1.alias("h1"), h2.alias("h2"), "t", *keep)
 
 
 def distinct_sets(records: DataFrame, *more) -> DataFrame:
