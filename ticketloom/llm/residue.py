@@ -57,7 +57,7 @@ TRUSTED = (
     r"\baccess denied\b|\bzugriff verweigert\b|\b(?:session has expired|sitzung ist abgelaufen)\b|\btoo many requests\b|\bzu viele anfragen\b|\binternal server error\b|\binterner serverfehler\b",
     r"\bfatal error\b|\bschwerer fehler\b|\bstack ?trace\b|\btraceback \(|\bundefined (?:method|variable|index|function)\b|\bnull ?pointer|\bdatabase connection failed\b|\bkeine verbindung zur datenbank\b|\btoo many connections\b",
     r"\b(?:template|vorlage|plantilla|modèle|modello|sjabloon)\b.*\b(?:could not be|cannot be|konnte nicht|kann nicht)\b.*\b(?:variable|rendered|ausgegeben)\b|\bblindtext\b|\becht\w+ inhalt folgt\b",
-    r"\bsomething went wrong\b|\betwas ist schiefgelaufen\b|\b(?:site|page|website) (?:can(?:no|')t be reached|is not reachable)|\btook too long to respond\b|\bzu lange nicht geantwortet\b|\bchecking your browser\b|\bbrowser wird vor\b",
+    r"\bsomething went wrong\b|\b(?:etwas ist|ist etwas) (?:schiefgelaufen|schief ?gegangen)\b|\b(?:site|page|website) (?:can(?:no|')t be reached|is not reachable)|\btook too long to respond\b|\bzu lange nicht geantwortet\b|\bchecking your browser\b|\bbrowser wird vor\b",
 )
 _TRUSTED = regex.compile("|".join(f"(?:{x})" for x in TRUSTED))
 # Somebody speaks for themselves, so the text is not trusted to be residue.
@@ -65,6 +65,8 @@ _OWN = regex.compile(r"\b(?:i|my|our|us|ours|ich|mein\w*|uns|unser\w*|wir|mir|no
 # Words with which a placeholder is reported and not left over; pseudo-counts for the other class of that model.
 REPORTED = "literal literally wörtlich text prints shows displays zeigt steht druckt statt instead place placeholder platzhalter template vorlage label etikett greet begrüßen appears erscheint mend berichtigen".split()
 _REPORTED = frozenset(REPORTED)
+#: One of these is enough for a report; of the others it takes two.
+_LITERALLY = frozenset("literal literally wörtlich placeholder platzhalter".split())
 
 _ZERO = regex.compile("[​‌‍⁠﻿­]")
 _TAG = regex.compile(r"</?(?:html|body|h\d|hr|br|p|div|span|noscript|b|i|u|a|ul|ol|li|table|tr|td|head|title|script|pre|code|font|strong|em|center|img)\b[^<>]{0,200}>", regex.IGNORECASE)
@@ -157,7 +159,7 @@ def _trusted(text: str, found: list[tuple[str, int, int]], flat: str, parts: lis
         return False
     words = [len(_WORD.findall(p)) for p in parts]
     hits = [n for p, n in zip(parts, words) if _TRUSTED.search(p)]
-    return sum(hits) >= 0.4 * sum(words) or (len(hits) * 3 >= len(parts) and sum(words) <= 30)
+    return sum(hits) * 3 >= sum(words) or (len(hits) * 3 >= len(parts) and sum(words) <= 30)
 
 
 def mark_contexts(text: str, field: str, found: list[tuple[str, int, int]]) -> list[tuple[list[int], int]]:
@@ -166,7 +168,8 @@ def mark_contexts(text: str, field: str, found: list[tuple[str, int, int]]) -> l
     for kind, a, b in found:
         before = _WORD.findall(plain(text[max(0, a - 80) : a]).lower())[-6:]
         after = _WORD.findall(plain(text[b : b + 80]).lower())[:6]
-        reported = not _REPORTED.isdisjoint(before[-4:] + after[:4])
+        near = _REPORTED.intersection(before + after)
+        reported = len(near) > 1 or not _LITERALLY.isdisjoint(near)
         sure = 1 if kind == "fill" or (len(found) > 1 and not reported) else -1 if reported else 0
         out.append(([_id("kind " + kind), _id("field " + field), *(_id("0" if w[0].isdigit() else w) for w in before + after)], sure))
     return out
