@@ -41,7 +41,7 @@ def association(table: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("expected") > 0, (F.col("n") - F.col("expected")) ** 2 / F.col("expected")).otherwise(0.0)).alias("chi2"),
         F.sum("n").alias("total"), F.count_distinct("r").alias("rows"), F.count_distinct("c").alias("cols"), F.min("expected").alias("min_expected"), F.avg((F.col("expected") < 5).cast("double")).alias("small_cells"),
     ).fillna(0.0, ["chi2"])
-    s = s.withColumn("dof", (F.col("rows") - 1) * (F.col("cols") - 1))
+    s = s.withColumn("dof", F.greatest(F.col("rows") - 1, F.lit(0)) * F.greatest(F.col("cols") - 1, F.lit(0)))
     n1 = F.greatest(F.col("total") - 1, F.lit(1))
     phi = F.greatest(F.lit(0.0), ratio(F.col("chi2"), F.col("total")) - F.col("dof") / n1)
     rc, cc = F.col("rows") - (F.col("rows") - 1) ** 2 / n1, F.col("cols") - (F.col("cols") - 1) ** 2 / n1

@@ -82,7 +82,8 @@ def reuse(spark: SparkSession, folder: str, name: str, signature, make: Callable
 
 def check(category: str, name: str, observed: DataFrame, expected, tolerance: float = 0.0) -> DataFrame:
     """(category, check, expected, observed, status) from a one-row, one-column observation; a null observation fails."""
-    value = F.col(observed.columns[0]).cast("double")
+    observed = observed.toDF("_value")
+    value = F.col("_value").cast("double")
     ok = F.coalesce(F.abs(value - float(expected)) <= tolerance, F.lit(False))
     return observed.select(F.lit(category).alias("category"), F.lit(name).alias("check"), F.lit(float(expected)).alias("expected"), F.round(value, 9).alias("observed"), F.when(ok, "PASS").otherwise("FAIL").alias("status"))
 

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """With header, quotes doubled; nulls are empty fields and empty strings quoted ones."""
-    df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", '""').option("nullValue", "").csv(path)
+    """With header, quotes doubled; nulls and empty strings are empty fields, and are read as null."""
+    df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists", partition_by: list[str] | None = None) -> None:
