@@ -215,3 +215,21 @@ def test_models_beat_the_majority(spark):
     assert boosted > 30
     assert models.grid_search([{"a": 1}, {"a": 2}], 2, lambda p, k: p["a"] + k)[0]["params"] == {"a": 2}
     assert models.at_edge({"a": [1, 2, 3], "b": ["x"]}, {"a": 3, "b": "x"}) == {"a": True}
+
+
+def test_shaping(spark):
+    from ticketloom.operators import shaping
+
+    df = spark.createDataFrame([(0.9, "b"), (0.95, "a"), (1.0, None), (1.5, "b"), (None, "c")], "s double, v string")
+    got = df.select(shaping.band(F.col("s"), [0.9, 0.95, 1.01], ["x", "y"])).collect()
+    assert [r[0] for r in got] == ["x", "y", "y", None, None]
+    assert sorted((r["v"] or "", r["code"]) for r in shaping.factorize(df, "v").collect()) == [("", None), ("a", 0), ("b", 1), ("b", 1), ("c", 2)]
+    t = spark.createDataFrame([("1",), ("x",), (None,)], "n string")
+    with pytest.raises(ValueError):
+        shaping.strict_cast(t, "n", "int")
+    assert [r["n"] for r in shaping.lenient_cast(t, "n", "int").collect()] == [1, None, None]
+    with pytest.raises(ValueError):
+        shaping.wide(spark.createDataFrame([(1, "a", 2), (1, "a", 3)], "k int, n string, v int"), ["k"], "n", "v", ["a"])
+    p = spark.createDataFrame([(0.5, 0.5), (0.7, 0.7), (float("nan"), 0.5), (None, 1.0), (-0.5, 1.5)], "a double, b double")
+    assert shaping.invalid_probabilities(p, ["a", "b"]).count() == 4
+    assert spark.range(1).select(shaping.thousands(F.lit(1234567))).first()[0] == "1.234.567"
