@@ -23,18 +23,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom.functions.words import digest, hashed, words
+from ticketloom.session import written
 
 #: Counters of the frequency sketch: 4 MB in every process whatever the input.
 SKETCH_BITS = 22
 #: A group of more than this many sets is split by its next shared word.
 SMALL_GROUP = 32
+#: In a group of so many sets of which most may be near one, only the links to that one are looked at first.
+DENSE = 1024
 #: A word in more sets than this is shuffled by word pairs, so that no task gets all its sets.
 HOT_WORD = 1 << 17
 
 #: g: the shared item; n: words of the set; pos: words before g under order 1; room: items from g to the end of the prefix;
 #: need: items that a partner shares at least; size: words in g; o1, o2: parities; sfx: 32 bits of each item after g.
 EMITTED = "g bigint, h1 bigint, h2 bigint, n int, pos int, room int, need int, size int, o1 bigint, o2 bigint, role int, sfx binary"
-PAIRS = "a1 bigint, a2 bigint, b1 bigint, b2 bigint, shared bigint"
+PAIRS = "a1 bigint, a2 bigint, b1 bigint, b2 bigint, shared bigint, star int"
 
 
 def record_sets(df: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
@@ -140,7 +143,8 @@ def _emitter(sketch, t: float):
             words32 = flat[ragged(at + 1, left)] & 0xFFFFFFFF
             take = pa.array(r)
             ints = {"n": n[r], "pos": own, "room": prefix[r] - pos[at], "need": np.full(len(r), depth), "size": np.ones(len(r))}
-            yield emitted_batch(key, b.column("h1").take(take), b.column("h2").take(take), ints, o1[r], o2[r], np.zeros(len(r)), binary_column(words32, left))
+            role = b.column("role").to_numpy()[r] if "role" in b.schema.names else np.zeros(len(r))
+            yield emitted_batch(key, b.column("h1").take(take), b.column("h2").take(take), ints, o1[r], o2[r], role, binary_column(words32, left))
 
     return emit
 
@@ -168,6 +172,15 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.diff(np.concatenate([begin, [len(keys)]]))
 
 
+def _pass(x: Group, i: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
+    """Which pairs of rows pass the parities, size and position filters."""
+    ni, nj = x.n[i], x.n[j]
+    alpha = _alpha(ni, nj, t)
+    far = np.bitwise_count(x.o1[i] ^ x.o1[j]).astype(np.int64) + np.bitwise_count(x.o2[i] ^ x.o2[j])
+    ok = (far <= ni + nj - 2 * alpha) & (np.minimum(ni, nj) >= t * np.maximum(ni, nj) - 1e-9)
+    return ok & (np.minimum(ni - x.pos[i], nj - x.pos[j]) >= alpha)
+
+
 def _within(x: Group, rows: np.ndarray, begin: np.ndarray, size: np.ndarray, t: float, apart: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows in the runs that pass every filter."""
     end = np.repeat(begin + size, size)
@@ -182,31 +195,62 @@ def _within(x: Group, rows: np.ndarray, begin: np.ndarray, size: np.ndarray, t:
         if apart:
             roles = (x.role[i] | x.role[j]) == 3
             i, j = i[roles], j[roles]
-        ni, nj = x.n[i], x.n[j]
-        alpha = _alpha(ni, nj, t)
-        far = np.bitwise_count(x.o1[i] ^ x.o1[j]).astype(np.int64) + np.bitwise_count(x.o2[i] ^ x.o2[j])
-        ok = (far <= ni + nj - 2 * alpha) & (np.minimum(ni, nj) >= t * np.maximum(ni, nj) - 1e-9)
-        ok &= np.minimum(ni - x.pos[i], nj - x.pos[j]) >= alpha
+        ok = _pass(x, i, j, t)
         if ok.any():
             yield i[ok], j[ok]
         k += 1
 
 
-def group_pairs(x: Group, t: float, apart: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs among the sets of each group, by row; large groups are split by the next shared item.
+def _dense(x: Group, run: np.ndarray, t: float, only: bool) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[tuple[np.ndarray, np.ndarray]]] | None:
+    """(links to one set, other pairs) of a large run, or None if few of its sets may be near that one.
+
+    Pairs of two sets that both may be near the one are left out: if both are,
+    they are in its group. With only, all pairs of rows whose role is 3.
+    """
+    if only:
+        rest = run[x.role[run] == 3]
+        star: list[tuple[np.ndarray, np.ndarray]] = []
+    else:
+        one = run[np.argmin(x.h1[run])]
+        others = run[run != one]
+        near = _pass(x, np.full(len(others), one), others, t)
+        if near.sum() * 2 < len(others):
+            return None
+        star, rest = [(np.full(int(near.sum()), one), others[near])], others[~near]
+    pairs = []
+    for r in rest:
+        i = np.full(len(run), r)
+        ok = _pass(x, i, run, t) & (run != r)
+        if ok.any():
+            pairs.append((i[ok], run[ok]))
+    return star, pairs
+
+
+def group_pairs(x: Group, t: float, apart: bool = False, dense: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs among the sets of each group, by row, and which are links to one set of a dense group.
 
-    Sets that need to share no more than level items with a partner are
-    compared before the split, with all that are not much larger.
+    Large groups are split by the next shared item; sets that need to share no
+    more than level items with a partner are compared before the split, with
+    all that are not much larger.
     """
     found: list[tuple[np.ndarray, np.ndarray]] = []
+    stars: list[tuple[np.ndarray, np.ndarray]] = []
     rows, keys, at, level = np.arange(len(x.g)), x.g, x.lo, 1
     while len(rows):
         begin, size = _runs(keys)
-        small = (size > 1) & ((size <= SMALL_GROUP) | (level >= 3))
+        open_ = np.ones(len(begin), bool)
+        if dense:
+            for k in np.flatnonzero(size >= DENSE):
+                got = _dense(x, rows[begin[k] : begin[k] + size[k]], t, apart)
+                if got is not None:
+                    open_[k] = False
+                    stars += got[0]
+                    found += got[1]
+        small = open_ & (size > 1) & ((size <= SMALL_GROUP) | (level >= 3))
         found += _within(x, rows, begin[small], size[small], t, apart)
         if level >= 3:
             break
-        large = size > SMALL_GROUP
+        large = open_ & (size > SMALL_GROUP)
         pick = ragged(begin[large], size[large])
         run = np.repeat(np.arange(large.sum()), size[large])
         r, a = rows[pick], at[pick]
@@ -216,37 +260,39 @@ def group_pairs(x: Group, t: float, apart: bool = False) -> tuple[np.ndarray, np
             np.maximum.at(most, run[few], np.ceil(x.n[r[few]] / t).astype(np.int64))
             near = x.n[r] <= most[run]
             begin, size = _runs(run[near])
-            found += ((i, j) for i, j in _within(x, r[near], begin, size, t, apart) if len(i))
+            found += _within(x, r[near], begin, size, t, apart)
         many = np.maximum(0, np.minimum(x.hi[r], x.lo[r] + x.room[r] + level - 1) - a)
         s = ragged(a, many)
         keys = (np.repeat(run, many).astype(np.int64) << 32) | x.sfx[s].astype(np.int64)
         order = np.argsort(keys)
         keys, rows, at = keys[order], np.repeat(r, many)[order], (s + 1)[order]
         level += 1
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    i, j = (np.concatenate(c) for c in zip(*found))
-    both = np.unique(np.minimum(i, j) * np.int64(len(x.g)) + np.maximum(i, j))
-    return both // len(x.g), both % len(x.g)
+    none = np.zeros(0, np.int64)
+    i, j = (np.concatenate(c) for c in zip(*found, *stars)) if found or stars else (none, none)
+    star = np.arange(len(i)) >= sum(len(c) for c, _ in found)
+    both, first = np.unique(np.minimum(i, j) * np.int64(len(x.g)) + np.maximum(i, j), return_index=True)
+    return both // len(x.g), both % len(x.g), star[first].astype(np.int32)
 
 
-def _pairer(t: float, apart: bool):
+def _pairer(t: float, apart: bool, dense: bool):
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
 
         def solved(table: pa.Table) -> Iterator[pa.RecordBatch]:
             x = Group(table)
-            i, j = group_pairs(x, t, apart)
+            i, j, star = group_pairs(x, t, apart, dense)
             if len(i):
                 first = (x.h1[i] < x.h1[j]) | ((x.h1[i] == x.h1[j]) & (x.h2[i] < x.h2[j]))
                 a, b = np.where(first, i, j), np.where(first, j, i)
                 same = (x.h1[a] == x.h1[b]) & (x.h2[a] == x.h2[b])
-                a, b = a[~same], b[~same]
+                a, b, star = a[~same], b[~same], star[~same]
                 if len(a):
                     every, which = np.unique(np.stack([x.h1[a], x.h2[a], x.h1[b], x.h2[b]]), axis=1, return_inverse=True)
                     shared = np.bincount(which.ravel(), x.size[a]).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*every, shared)], names=["a1", "a2", "b1", "b2", "shared"])
+                    stars = np.zeros(every.shape[1], np.int32)
+                    np.maximum.at(stars, which.ravel(), star)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*every, shared, stars)], names=["a1", "a2", "b1", "b2", "shared", "star"])
 
         for b in batches:
             held.append(b)
@@ -266,27 +312,38 @@ def _pairer(t: float, apart: bool):
     return pairs
 
 
-def candidates(emitted: DataFrame, t: float, apart: bool = False) -> DataFrame:
-    """Pairs of one group that pass all filters, once each; shared: words in the prefix items found in both."""
-    pairs = emitted.repartition("g").sortWithinPartitions("g").mapInArrow(_pairer(t, apart), PAIRS)
-    return pairs.groupBy("a1", "a2", "b1", "b2").agg(F.sum("shared").alias("shared"))
+def candidates(emitted: DataFrame, t: float, apart: bool = False, dense: bool = False) -> DataFrame:
+    """Pairs of one group that pass all filters, once each; shared: words in the prefix items found in both; star: a link to one set of a dense group."""
+    pairs = emitted.repartition("g").sortWithinPartitions("g").mapInArrow(_pairer(t, apart, dense), PAIRS)
+    return pairs.groupBy("a1", "a2", "b1", "b2").agg(F.sum("shared").alias("shared"), F.max("star").alias("star"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    """(rep_a, rep_b, shared, n_a, n_b) of the pairs whose sets reach the threshold."""
+def compared(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
+    """(rep_a, rep_b, star, near): whether the sets of each pair reach the threshold."""
     a = sets.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("t").alias("ta"), F.col("rep").alias("rep_a"))
     b = sets.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("t").alias("tb"), F.col("rep").alias("rep_b"))
     both = pairs.drop("shared").join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
-    both = both.select("rep_a", "rep_b", F.size(F.array_intersect("ta", "tb")).alias("shared"), F.size("ta").alias("n_a"), F.size("tb").alias("n_b"))
-    return both.where(F.col("shared") >= F.lit(t) * (F.col("n_a") + F.col("n_b") - F.col("shared")) - 1e-9)
+    both = both.select("rep_a", "rep_b", "star", F.size(F.array_intersect("ta", "tb")).alias("shared"), (F.size("ta") + F.size("tb")).alias("n"))
+    return both.select("rep_a", "rep_b", "star", (F.col("shared") >= F.lit(t) * (F.col("n") - F.col("shared")) - 1e-9).alias("near"))
 
 
-def near_pairs(sets: DataFrame, t: float) -> DataFrame:
-    """All pairs of different sets at a Jaccard similarity of t or more, each once, as a table."""
-    spark = sets.sparkSession
-    sketch = spark.sparkContext.broadcast(frequency_sketch(sets.select(F.explode("t").alias("w")), "w"))
-    emitted = sets.select("h1", "h2", "t").mapInArrow(_emitter(sketch, t), EMITTED)
-    return verified(candidates(emitted, t), sets, t)
+def near_links(sets: DataFrame, t: float) -> DataFrame:
+    """(rep_a, rep_b): links whose components are those of all near pairs; all near pairs but some inside dense groups.
+
+    In a dense group the sets that may be near one of them are first compared
+    with that one only. Those that turn out not to be near it are compared
+    with all others in a second pass, which is skipped where there are none.
+    """
+    sketch = sets.sparkSession.sparkContext.broadcast(frequency_sketch(sets.select(F.explode("t").alias("w")), "w"))
+    emit = lambda df: df.mapInArrow(_emitter(sketch, t), EMITTED)
+    first = written(compared(candidates(emit(sets.select("h1", "h2", "t")), t, dense=True), sets, t), "compared")
+    near = first.where("near").select("rep_a", "rep_b")
+    failed = first.where("star = 1 and not near").select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).distinct()
+    if failed.isEmpty():
+        return near
+    marked = sets.join(failed.withColumn("role", F.lit(3)), "rep", "left").select("h1", "h2", "t", F.coalesce("role", F.lit(2)).alias("role"))
+    second = compared(candidates(emit(marked), t, apart=True, dense=True), sets, t).where("near").select("rep_a", "rep_b")
+    return near.unionByName(written(second, "second")).distinct()
 
 
 def near_groups(df: DataFrame, id_col: str = "record_id", text_col: str = "text_clean", threshold: float = 0.7) -> DataFrame:
@@ -299,14 +356,11 @@ def near_groups(df: DataFrame, id_col: str = "record_id", text_col: str = "text_
     an empty table gives an empty one. Only the two named columns are read.
     """
     from ticketloom.operators.components import connected_components
-    from ticketloom.session import discard, written
-
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     records = record_sets(df, id_col, text_col).persist(StorageLevel.MEMORY_AND_DISK)
     sets = distinct_sets(records).persist(StorageLevel.MEMORY_AND_DISK)
-    pairs = written(near_pairs(sets, threshold), "near")
-    parts = connected_components(pairs, "rep_a", "rep_b")
+    parts = connected_components(near_links(sets, threshold), "rep_a", "rep_b")
     grouped = sets.select("h1", "h2", "rep", "cnt").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
     grouped = grouped.where("cnt > 1 or component is not null").select("h1", "h2", F.coalesce("component", "rep").alias("group_id"))
     found = records.select("id", "h1", "h2").join(grouped, ["h1", "h2"]).select("id", "group_id").distinct()
@@ -314,5 +368,4 @@ def near_groups(df: DataFrame, id_col: str = "record_id", text_col: str = "text_
     sizes = kept.groupBy("group_id").count().where("count > 1").select("group_id")
     sets.unpersist()
     records.unpersist()
-    discard(pairs)
     return kept.join(sizes, "group_id").select(F.col("id").alias(id_col), "group_id")
