@@ -240,9 +240,9 @@ def _fitted(spark, sf, kind, **params):
     d = _base(spark, sf)
     train, test = d.where("split = 'training'"), d.where("split <> 'training'")
     counts = written(_words(train), "train-words")
-    vocab = V.vocabulary(counts, 5, 200).select("feature").cache()
     n = train.count()
-    full = V.vocabulary(counts, 5, 200)
+    full = written(V.vocabulary(counts, 5, 200), "vocabulary")
+    vocab = full.select("feature")
     a, b = V.tfidf(counts, full, n), V.tfidf(_words(test), full, n)
     args = (a, b, vocab, d, "record_id", "priority", CLASSES)
     pred = M.adaboost(*args, **params) if kind == "adaboost" else M.fit_predict(kind, *args, **params)
@@ -255,7 +255,7 @@ def model_logistic(spark, sf):
 
 
 def model_svm(spark, sf):
-    return _fitted(spark, sf, "svm", regParam=0.01)
+    return _fitted(spark, sf, "svm", regParam=0.01, maxIter=8)
 
 
 def model_tree(spark, sf):
