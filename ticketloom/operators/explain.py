@@ -22,7 +22,7 @@ def linear_attributions(values: DataFrame, weights: DataFrame, background: DataF
     rows = background.select("id").distinct().count()
     mean = background.groupBy("feature").agg((F.sum("value") / max(1, rows)).alias("mean"))
     cases = values.select("id").distinct()
-    grid = cases.crossJoin(F.broadcast(mean.select("feature"))).unionByName(values.select("id", "feature")).distinct()
+    grid = cases.crossJoin(mean.select("feature")).unionByName(values.select("id", "feature")).distinct()
     full = grid.join(values, ["id", "feature"], "left").join(mean, "feature", "left")
     shift = full.select("id", "feature", (F.coalesce("value", F.lit(0.0)) - F.coalesce("mean", F.lit(0.0))).alias("d")).where("d <> 0")
     return shift.join(weights, "feature").select("id", "label", "feature", (F.col("d") * F.col("weight")).alias("phi"))

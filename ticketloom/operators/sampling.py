@@ -22,7 +22,7 @@ def stratified_sample(df: DataFrame, key: str, strata: list[Column], n: int, see
     by = [f"_s{i}" for i in range(len(strata))]
     sizes = named.groupBy(*by).agg(F.count("*").alias("_n"))
     cut = (4.0 * n + 40) / F.col("_n") * SPAN
-    near = named.join(F.broadcast(sizes), [named[c].eqNullSafe(sizes[c]) for c in by]).drop(*[sizes[c] for c in by]).where(F.col("_u") < cut)
+    near = named.join(sizes, [named[c].eqNullSafe(sizes[c]) for c in by]).drop(*[sizes[c] for c in by]).where(F.col("_u") < cut)
     order = Window.partitionBy(*by).orderBy("_u", key)
     return near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).drop("_r", "_u", "_n", *by)
 
@@ -96,9 +96,9 @@ def hash_bootstrap(df: DataFrame, index: str, value: str, draws: int, seed: str
     strata = strata or []
     sizes = df.groupBy(*strata).agg(F.count("*").alias("n"))
     its = df.sparkSession.range(draws).select(F.col("id").alias("iteration"))
-    slots = its.crossJoin(F.broadcast(sizes)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    slots = its.crossJoin(sizes).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
     drawn = slots.withColumn(index, hash_u(F.concat_ws("-", *strata, "iteration", "j"), seed) % F.col("n"))
-    return drawn.join(F.broadcast(df.select(*strata, index, value)), [*strata, index]).groupBy("iteration", *strata).agg(F.avg(value).alias("mean"))
+    return drawn.join(df.select(*strata, index, value), [*strata, index]).groupBy("iteration", *strata).agg(F.avg(value).alias("mean"))
 
 
 def nested_extension(pool: DataFrame, reference: DataFrame, key: str, strata: str, per_stratum: int, seed: str | int) -> DataFrame:
@@ -106,5 +106,5 @@ def nested_extension(pool: DataFrame, reference: DataFrame, key: str, strata: st
     ref = pool.join(reference.select(key), key, "left_semi").select(key, strata, F.lit("reference").alias("origin"))
     have = ref.groupBy(strata).agg(F.count("*").alias("have"))
     order = Window.partitionBy(strata).orderBy(hash_u(F.col(key), seed), key)
-    rest = pool.join(reference.select(key), key, "left_anti").withColumn("r", F.row_number().over(order)).join(F.broadcast(have), strata, "left")
+    rest = pool.join(reference.select(key), key, "left_anti").withColumn("r", F.row_number().over(order)).join(have, strata, "left")
     return ref.unionByName(rest.where(F.col("r") <= per_stratum - F.coalesce("have", F.lit(0))).select(key, strata, F.lit("extension").alias("origin")))
