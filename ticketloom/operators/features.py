@@ -33,7 +33,7 @@ def _gram_at(text: Column, n: int):
 
 
 def word_ngrams(words: Column, low: int = 1, high: int = 2) -> Column:
-    """All runs of low to high words, joined by a space."""
+    """All runs of low to high words, joined by a space; words should be a column, since an expression would be evaluated for each run."""
     parts = [words] if low <= 1 <= high else []
     for n in range(max(2, low), high + 1):
         last = F.size(words) - n

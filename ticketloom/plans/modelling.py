@@ -43,25 +43,25 @@ def _words(d):
 
 
 def _vectors(d):
-    counts = _words(d)
+    counts = written(_words(d), "counts")
     return V.tfidf(counts, V.vocabulary(counts, 2, TERMS), d.count())
 
 
 def word_tfidf(spark, sf):
     d = _base(spark, sf)
-    counts = V.term_counts(d, "record_id", V.word_ngrams(V.tokens(F.col("text_clean"))))
+    counts = written(V.term_counts(d.select("record_id", V.tokens(F.col("text_clean")).alias("tokens")), "record_id", V.word_ngrams(F.col("tokens"))), "counts")
     return _r(V.tfidf(counts, V.vocabulary(counts, 2, TERMS), d.count()), "value")
 
 
 def char_wb_tfidf(spark, sf):
     d = _base(spark, sf)
-    counts = V.term_counts(d, "record_id", V.char_wb_ngrams(F.col("text_clean")))
+    counts = written(V.term_counts(d, "record_id", V.char_wb_ngrams(F.col("text_clean"))), "counts")
     return _r(V.tfidf(counts, V.vocabulary(counts, 2, CHARS), d.count()), "value")
 
 
 def chi2_top_k(spark, sf):
     d = _base(spark, sf)
-    return _r(V.select_k(V.chi2_scores(_words(d), d, "record_id", "priority"), 50), "chi2")
+    return _r(V.select_k(V.chi2_scores(written(_words(d), "counts"), d, "record_id", "priority"), 50), "chi2")
 
 
 def feature_union_profile(spark, sf):
@@ -77,9 +77,9 @@ def majority_baseline(spark, sf):
 
 def _nb(d):
     train = d.where("split = 'training'")
-    counts = _words(train)
-    vocab = V.vocabulary(counts, 2).select("feature")
-    return counts.join(vocab, "feature"), M.complement_nb_weights(counts.join(vocab, "feature"), train, "record_id", "priority")
+    counts = written(_words(train), "counts")
+    known = written(counts.join(V.vocabulary(counts, 2).select("feature"), "feature"), "known")
+    return known, M.complement_nb_weights(known, train, "record_id", "priority")
 
 
 def complement_nb_scores(spark, sf):
@@ -182,7 +182,7 @@ def holm_adjustment(spark, sf):
 def _attributed(spark, sf):
     d = _base(spark, sf)
     values, w = _nb(d)
-    top = V.select_k(V.chi2_scores(values, d, "record_id", "priority"), 40).select("feature")
+    top = written(V.select_k(V.chi2_scores(values, d, "record_id", "priority"), 40).select("feature"), "top")
     w = written(w.join(top, "feature"), "weights")
     v = written(_words(d).join(top, "feature"), "values")
     back = S.stratified_sample(d.where("split = 'training'"), "record_id", [F.col("priority")], 10, "background").select(F.col("record_id").alias("id"))
