@@ -9,7 +9,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketloom.llm.language import Judge, dictionaries
+from ticketloom.llm.language import FIRST, Judge, dictionaries
 from ticketloom.llm.residue import plain
 from ticketloom.session import written
 
@@ -245,15 +245,13 @@ class Languages:
     """Whether a response is in another language than its prompt."""
 
     def __init__(self, judge: Judge):
-        self._judge, self._recent = judge, [1, 0]
+        self._judge = judge
 
     def foreign(self, response: str, prompt: str) -> bool:
-        asked, sure = self._judge.best(prompt, self._recent)
+        asked, sure = self._judge.best(prompt, FIRST)
         if sure < FOREIGN_BYTES:
             return False
-        if asked != self._recent[0]:
-            self._recent = [asked, self._recent[0]]
-        said, win = self._judge.best(response, [asked])
+        said, win = self._judge.best(response, (asked,))
         if said == asked or win < FOREIGN_BYTES:
             return False
         langs, _, _ = self._judge.stretches(prompt)
