@@ -35,7 +35,7 @@ def test_equals_plain_encoding(texts):
     assert chunked(texts) == [plain(t) for t in texts]
 
 
-@settings(max_examples=100, deadline=None)
+@settings(max_examples=600, deadline=None)
 @given(st.lists(st.sampled_from(WORDS), max_size=80).map("".join), st.data())
 def test_repaired_joins_are_exact(text, data):
     raw = text.encode()

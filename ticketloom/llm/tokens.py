@@ -79,16 +79,17 @@ class Encoder:
         left, right = a.decode("utf-8", "replace"), b.decode("utf-8", "replace")
         starts = [m.start() for m in _PIECES.finditer(left)]
         begin = starts[-2] if len(starts) > 2 else 0
-        own = {m.start() for m in _PIECES.finditer(right)}
-        text = left + right
+        own = {m.start(): m.group() for m in _PIECES.finditer(right)}
+        again: list[int] = []
         meet = len(right)
-        for m in _PIECES.finditer(text, begin):
+        for m in _PIECES.finditer(left + right, begin):
             if m.start() >= len(left) and m.start() - len(left) in own:
                 meet = m.start() - len(left)
                 break
-        tail, head = len(self._encode(left[begin:])), len(self._encode(right[:meet]))
-        again = np.array(self._encode(text[begin : len(left) + meet]), np.int32).tobytes()
-        return ids_a[: len(ids_a) - 4 * tail] + again + ids_b[4 * head :]
+            again += self._encode(m.group())  # piece by piece: what white space does depends on what follows
+        tail = len(self._encode(left[begin:]))
+        head = sum(len(self._encode(piece)) for at, piece in own.items() if at < meet)
+        return ids_a[: len(ids_a) - 4 * tail] + np.array(again, np.int32).tobytes() + ids_b[4 * head :]
 
     def document(self, data: bytes, cuts: list[int], safe: list[bool]) -> bytes:
         """The ids of data, cut before each of cuts; safe: which joins need no repair."""
