@@ -135,6 +135,33 @@ def test_hot_words_large_and_dense_groups(monkeypatch, small, hot, dense):
         assert again and links < len(list(brute_pairs(rows, 0.7)))
 
 
+def test_links_of_dense_groups_stay_links(monkeypatch):
+    """A link to one set of a dense run is flagged as such though a smaller run of the group has the same pair."""
+    monkeypatch.setattr(setjoin, "SKETCH_BITS", 14)
+    monkeypatch.setattr(setjoin, "SMALL_GROUP", 3)
+    monkeypatch.setattr(setjoin, "DENSE", 6)
+    plain, links, flags = setjoin._dense, [], []
+
+    def dense(x, run, t, only):
+        got = plain(x, run, t, only)
+        links.extend((x, int(min(a, b)), int(max(a, b))) for i, j in (got[0] if got else []) for a, b in zip(i, j))
+        return got
+
+    def group_pairs(x, *args):
+        i, j, star = pairs(x, *args)
+        flags.extend((x, a, b) for a, b, s in zip(i.tolist(), j.tolist(), star) if s)
+        return i, j, star
+
+    pairs = setjoin.group_pairs
+    monkeypatch.setattr(setjoin, "_dense", dense)
+    monkeypatch.setattr(setjoin, "group_pairs", group_pairs)
+    rng = random.Random(6)
+    base = [f"b{k}" for k in range(20)]
+    rows = [(i, " ".join(w for w in base if rng.random() > 0.15)) for i in range(150)]
+    assert in_process(rows, 0.7)[0] == brute_groups(rows, 0.7)
+    assert links and set(links) == set(flags)
+
+
 def test_edge_rows_and_clashing_columns(spark):
     long_text = " ".join(f"w{i}" for i in range(5000))
     rows = [(1, None), (2, ""), (3, " !? "), (4, "one two three four"), (4, "one two three four"), (5, "one two three four"), (6, "four three two one"), (None, "one two three four"), (7, long_text), (8, long_text + " x"), (9, "alone")]

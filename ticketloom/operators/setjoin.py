@@ -268,8 +268,9 @@ def group_pairs(x: Group, t: float, apart: bool = False, dense: bool = False) ->
         keys, rows, at = keys[order], np.repeat(r, many)[order], (s + 1)[order]
         level += 1
     none = np.zeros(0, np.int64)
-    i, j = (np.concatenate(c) for c in zip(*found, *stars)) if found or stars else (none, none)
-    star = np.arange(len(i)) >= sum(len(c) for c, _ in found)
+    #: The links come first, since of equal pairs np.unique keeps the first: a link stays one though a smaller run has it too.
+    i, j = (np.concatenate(c) for c in zip(*stars, *found)) if found or stars else (none, none)
+    star = np.arange(len(i)) < sum(len(c) for c, _ in stars)
     both, first = np.unique(np.minimum(i, j) * np.int64(len(x.g)) + np.maximum(i, j), return_index=True)
     return both // len(x.g), both % len(x.g), star[first].astype(np.int32)
 
