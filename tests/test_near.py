@@ -10,7 +10,7 @@ import pytest
 import regex
 
 from ticketloom.operators import setjoin
-from ticketloom.operators.overlap import cross_split_pairs
+from ticketloom.operators.overlap import CHUNK_WORDS, FEW_WORDS, cross_split_pairs, shared_words
 from ticketloom.operators.setjoin import near_groups
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -200,6 +200,46 @@ def test_overlaps_equal_brute_force(spark, seed, length):
     assert set(pairs) == want if length[1] <= 24 else len(set(pairs)) >= 0.99 * len(want)
 
 
+def test_overlaps_of_variants_lose_no_pair(spark):
+    """Long variants of one template whose edits are rarer than all that they share."""
+    rng = random.Random(36)
+    rows = []
+    for i in range(420):
+        w = [f"b{k}" for k in range(36)]
+        for k in rng.sample(range(36), 3):
+            w[k] = f"e{rng.randrange(300)}"
+        rows.append((i, i, " ".join(w)))
+    splits = [(i, "training" if i % 2 else "holdout") for i, _, _ in rows]
+    got = cross_split_pairs(spark.createDataFrame(rows, "record_id bigint, source_row_id bigint, text_clean string"), spark.createDataFrame(splits, "source_row_id bigint, split string")).collect()
+    assert {(r[0], r[1]) for r in got} == split_brute(rows, splits, 0.7)
+    assert len(got) == len({(r[0], r[1]) for r in got}) and all(0 <= r["overlap"] <= 1 for r in got)
+
+
+def test_overlap_counts_every_shared_chunk_once():
+    rng = np.random.default_rng(5)
+    pairs = []
+    for n in (5, 24, 25, 30, 60):
+        for m in (0, 2, n // 5):
+            a = np.unique(rng.integers(-(2**62), 2**62, n))
+            pairs.append((a, np.unique(np.concatenate([rng.permutation(a)[m:], rng.integers(-(2**62), 2**62, m)]))))
+    want = []
+    for a, b in pairs:
+        every = 1 if min(len(a), len(b)) <= FEW_WORDS else CHUNK_WORDS
+
+        def chunks(x):
+            out, now = set(), []
+            for k, w in enumerate(x.tolist()):
+                now.append(w)
+                if (w >> 13) % every == 0 or k == len(x) - 1:
+                    out.add(tuple(now))
+                    now = []
+            return out
+
+        want.append(sum(map(len, chunks(a) & chunks(b))))
+    lists = [pa.array([p[k].tolist() for p in pairs], pa.list_(pa.int64())) for k in (0, 1)]
+    assert shared_words(*lists).tolist() == want
+
+
 def test_overlaps_of_edge_rows(spark):
     schema = "record_id bigint, source_row_id bigint, text_clean string, role string"
     rows = [(1, 1, "a b c d", None), (2, 2, "a b c d", None), (3, 3, "a b c d", None), (4, None, "a b c d", None), (5, 5, None, None), (6, 6, "", None), (None, 2, "a b c d", None), (7, 7, "a b c d e", None)]

@@ -1,16 +1,12 @@
-"""Same or nearly same records across splits, found through content-defined chunks.
+"""Same or nearly same records across splits, with their overlap in content-defined chunks.
 
 A record is normalised to its distinct words in the order of their hashes, so
-that case, marks, repeats and the order of words don't matter, and cut after
-every word whose rolling hash has a chosen residue: an edit changes only the
-chunks around it. Digests of the chunks are joined across splits; the lengths
-of the shared chunks sum to the overlap of each pair, and the pairs are then
-compared exactly. Chunk digests are ranked rare first by a fixed-size sketch
-and only a prefix of them is joined; digests in many records are split by the
-next shared chunk. Records of few words are cut after every word, where the
-prefix bound is a proof; for longer ones MIN_SHARED is a measured bound: a
-pair that shares fewer chunks is still found unless all it shares are among its
-commonest (see the README).
+that case, marks, repeats and the order of words don't matter. Pairs across
+splits are found by the word prefixes of setjoin, which lose none, and compared
+exactly. For the overlap, records are cut after every word whose hash has a
+chosen residue: an edit changes only the chunks around it, and the lengths of
+the chunks found in both sum to the overlap. Chunks can't find the pairs, since
+near records need not share any prefix of their chunks (see the README).
 """
 
 from __future__ import annotations
@@ -23,17 +19,17 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketloom.operators.setjoin import EMITTED, SKETCH_BITS, binary_column, candidates, distinct_sets, emitted_batch, frequency_sketch, parities, ragged, record_sets, rows_in_slices
+from ticketloom.operators.setjoin import EMITTED, candidates, distinct_sets, frequency_sketch, record_sets, rows_in_slices, word_prefixes
 from ticketloom.session import discard, written
 
 #: One word in so many ends a chunk.
 CHUNK_WORDS = 2
-#: Share of its chunks that a near record has in common with its partner, at least.
-MIN_SHARED = 0.4
-#: Records of up to this many distinct words are cut after every word.
+#: A pair with a record of up to this many distinct words is cut after every word.
 FEW_WORDS = 24
 #: Multiplier of the rolling hash.
 ROLL = 6364136223846793005
+KEYS = ("a1", "a2", "b1", "b2", "role_a", "role_b", "jaccard")
+NEAR = "a1 bigint, a2 bigint, b1 bigint, b2 bigint, role_a int, role_b int, jaccard double, overlap double"
 
 
 def cut(flat: np.ndarray, start: np.ndarray, every: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,58 +47,30 @@ def cut(flat: np.ndarray, start: np.ndarray, every: int) -> tuple[np.ndarray, np
     return (rolled ^ (rolled >> np.uint64(32))).view(np.int64), begin, size
 
 
-class _Chunks:
-    """Chunks of a batch of records under either rule, and the word sets of the records."""
-
-    def __init__(self, lists: pa.Array, t: float):
-        self.n = np.asarray(lists.value_lengths(), np.int64)
-        self.words = np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False))
-        self.start = np.cumsum(self.n) - self.n
-        word_row = np.repeat(np.arange(len(self.n)), self.n)
-        long = self.n > FEW_WORDS
-        digest, begin, size = cut(self.words, self.start, CHUNK_WORDS)
-        r = word_row[begin]
-        keep = long[r]
-        short = self.n[word_row] <= np.floor(FEW_WORDS / t + 1e-9)
-        self.value = np.concatenate([digest[keep], self.words[short]])
-        #: row: twice the record's index, plus 1 under the rule for few words.
-        self.row = np.concatenate([r[keep] * 2, word_row[short] * 2 + 1])
-        self.size = np.concatenate([size[keep], np.ones(int(short.sum()), np.int64)])
-
-
-def _digests(t: float):
-    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows_in_slices(batches, 4096):
-            yield pa.RecordBatch.from_arrays([pa.array(_Chunks(b.column("t"), t).value)], names=["c"])
-
-    return out
-
-
-def _emitter(sketch, t: float):
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity = np.frombuffer(sketch.value, np.uint8)
-        for b in rows_in_slices(batches, 4096):
-            x = _Chunks(b.column("t"), t)
-            q = rarity[x.value & ((1 << SKETCH_BITS) - 1)]
-            order = np.lexsort((x.value, x.row * 256 + q))
-            value, row, size, q = x.value[order], x.row[order], x.size[order], q[order]
-            count = np.bincount(row, minlength=2 * b.num_rows)
-            start = np.cumsum(count) - count
-            few = np.arange(len(count)) % 2 == 1
-            #: Words: a partner of a set of c shares at least ceil(t c). Chunks: the measured bound.
-            need = np.maximum(1, np.where(few, np.ceil(t * count - 1e-9), np.floor(MIN_SHARED * count))).astype(np.int64)
-            prefix = count - need + 1
-            pos = np.arange(len(value)) - start[row]
-            at = np.flatnonzero((pos < prefix[row]) & (q > 0))
-            r, record = row[at], row[at] // 2
-            left = np.maximum(0, np.minimum(start[r] + count[r], start[r] + prefix[r] + 2) - at - 1)
-            o1, o2 = parities(x.words, x.start)
-            take = pa.array(record)
-            ints = {"n": x.n[record], "pos": np.zeros(len(at)), "room": prefix[r] - pos[at], "need": np.where(few[r], np.minimum(need[r], 3), need[r]), "size": size[at]}
-            key = value[at] ^ np.where(few[r], np.int64(0x5851F42D), np.int64(0))
-            yield emitted_batch(key, b.column("h1").take(take), b.column("h2").take(take), ints, o1[record], o2[record], b.column("role").to_numpy()[record], binary_column(value[ragged(at + 1, left)] & 0xFFFFFFFF, left))
-
-    return emit
+def shared_words(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Words in the chunks that both lists of word hashes have, per row; no list is empty."""
+    sides = [(np.asarray(x.value_lengths(), np.int64), np.ascontiguousarray(x.flatten().to_numpy(zero_copy_only=False))) for x in (a, b)]
+    few = np.minimum(sides[0][0], sides[1][0]) <= FEW_WORDS
+    value, row, size = [], [], []
+    for n, flat in sides:
+        of = np.repeat(np.arange(len(n)), n)
+        digest, begin, words = cut(flat, np.cumsum(n) - n, CHUNK_WORDS)
+        keep, single = ~few[of[begin]], few[of]
+        value.append(np.concatenate([digest[keep], flat[single]]))
+        row.append(np.concatenate([of[begin][keep], of[single]]))
+        size.append(np.concatenate([words[keep], np.ones(int(single.sum()), np.int64)]))
+    v, r, s = (np.concatenate(x) for x in (value, row, size))
+    order = np.lexsort((v, r))  # a list has no chunk twice, so equal neighbours are one of either side
+    v, r, s = v[order], r[order], s[order]
+    both = np.flatnonzero((v[1:] == v[:-1]) & (r[1:] == r[:-1]))
+    return np.bincount(r[both], s[both], minlength=len(few))
+
+
+def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in rows_in_slices(batches, 4096):
+        ta, tb = b.column("ta"), b.column("tb")
+        longer = np.maximum(np.asarray(ta.value_lengths()), np.asarray(tb.value_lengths()))
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in KEYS), pa.array(shared_words(ta, tb) / longer)], names=[*KEYS, "overlap"])
 
 
 def cross_split_pairs(
@@ -111,8 +79,9 @@ def cross_split_pairs(
 ) -> DataFrame:
     """(record_id_a, record_id_b, jaccard, overlap): near pairs with one record in training and one in evaluation, a < b, once each.
 
-    jaccard is that of the distinct words; overlap the words of the joined
-    shared chunks over those of the longer record (1 for equal word sets).
+    Exact: no pair is lost. jaccard is that of the distinct words; overlap the
+    words of the shared chunks over those of the longer record (1 for equal
+    word sets; shared words where one has FEW_WORDS or fewer).
     Records without a split, with a null key or id or without words are in no
     pair; rows of splits that come twice count once; empty tables give none.
     Equal records are one record until the end, so a hot text costs its pairs
@@ -125,16 +94,16 @@ def cross_split_pairs(
     rows = record_sets(named.join(of, "k").select("id", "role", "text"), "id", "text", "role").where(F.size("t") > 0).persist(StorageLevel.MEMORY_AND_DISK)
     sets = distinct_sets(rows, F.bit_or("role").alias("role")).drop("rep", "cnt").persist(StorageLevel.MEMORY_AND_DISK)
     spark = records.sparkSession
-    sketch = spark.sparkContext.broadcast(frequency_sketch(sets.select("h1", "h2", "t", "role").mapInArrow(_digests(threshold), "c bigint"), "c"))
-    emitted = sets.select("h1", "h2", "t", "role").mapInArrow(_emitter(sketch, threshold), EMITTED)
-    joined = candidates(emitted, threshold, apart=True)
+    sketch = spark.sparkContext.broadcast(frequency_sketch(sets.select(F.explode("t").alias("w")), "w"))
+    emitted = sets.select("h1", "h2", "t", "role").mapInArrow(word_prefixes(sketch, threshold), EMITTED)
+    joined = candidates(emitted, threshold, apart=True).drop("shared", "star")
     side = lambda x: sets.select(F.col("h1").alias(x + "1"), F.col("h2").alias(x + "2"), F.col("t").alias("t" + x), F.col("role").alias("role_" + x))
     both = joined.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
     both = both.withColumn("both", F.size(F.array_intersect("ta", "tb")))
     both = both.withColumn("any", F.size("ta") + F.size("tb") - F.col("both"))
     both = both.where(F.col("both") >= threshold * F.col("any") - 1e-9)
-    overlap = F.least(F.lit(1.0), F.col("shared") / F.greatest(F.size("ta"), F.size("tb")))
-    near = written(both.select("a1", "a2", "b1", "b2", "role_a", "role_b", (F.col("both") / F.col("any")).alias("jaccard"), overlap.alias("overlap")), "overlap")
+    paired = both.select("a1", "a2", "b1", "b2", "role_a", "role_b", (F.col("both") / F.col("any")).alias("jaccard"), "ta", "tb")
+    near = written(paired.mapInArrow(_overlaps, NEAR), "overlap")
     one = lambda t, e: near.where(F.col(f"role_{t}").bitwiseAND(1) > 0).where(F.col(f"role_{e}").bitwiseAND(2) > 0).select(F.col(t + "1").alias("t1"), F.col(t + "2").alias("t2"), F.col(e + "1").alias("e1"), F.col(e + "2").alias("e2"), "jaccard", "overlap")
     same = sets.where("role = 3").select(F.col("h1").alias("t1"), F.col("h2").alias("t2"), F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.lit(1.0).alias("jaccard"), F.lit(1.0).alias("overlap"))
     way = one("a", "b").unionByName(one("b", "a")).unionByName(same)

@@ -149,6 +149,11 @@ def _emitter(sketch, t: float):
     return emit
 
 
+def word_prefixes(sketch, t: float):
+    """What candidates() reads: the prefixes of word sets, without loss; sketch: a broadcast frequency_sketch of their words."""
+    return _emitter(sketch, t)
+
+
 class Group:
     """Columns of the sets in one or more whole groups."""
 
