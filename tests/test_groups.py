@@ -1,5 +1,6 @@
 """Components, related sets, splits, running sums, linkage and sampling."""
 
+import hashlib
 import itertools
 import random
 
@@ -157,3 +158,14 @@ def test_folds_and_samples(spark):
     assert sorted(s.k) == sorted(again.k)
     draws = sampling.group_bootstrap(spark.createDataFrame([(1.0, 0.0), (0.0, 1.0), (0.0, 1.0)], "x double, y double"), ["x", "y"], 50).toPandas()
     assert ((draws.x + draws.y) == 3).all() and draws.x.std() > 0
+
+
+def test_bootstrap_means_draw_over_all_users(spark, tmp_path):
+    from ticketloom.plans.grouping import stratified_bootstrap_means
+
+    users = [*range(1000, 1300)]
+    spark.createDataFrame([("view", u, float(u)) for u in users], "event_type string, user_id bigint, value double").write.parquet(str(tmp_path / "events.parquet"))
+    dice = lambda it, j: int(hashlib.md5(f"view-{it}-{j}:boot".encode()).hexdigest()[:8], 16) % len(users)
+    want = {it: sum(users[dice(it, j)] for j in range(len(users))) / len(users) for it in range(20)}
+    got = {r["iteration"]: r["mean"] for r in stratified_bootstrap_means(spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want, abs=1e-5)
