@@ -89,6 +89,18 @@ def test_metrics(spark):
     assert row["accuracy"] == pytest.approx(0.6) and row["macro_f1"] == pytest.approx((0.5 + 0.8 + 0) / 3)
 
 
+def test_every_held_out_record_has_a_label(spark, tmp_path):
+    from ticketloom.plans.modelling import complement_nb_scores
+
+    texts = ["server down", "server down", "printer paper", "printer paper", "server", "unseen", None, "", "the"]
+    rows = [(i, i, t, "high" if i in (0, 1) else "low", None) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "record_id bigint, source_row_id bigint, text_clean string, priority string, semantic_group_id string").write.parquet(str(tmp_path / "customer_it_support_prepared.parquet"))
+    spark.createDataFrame([(i, "training" if i < 4 else "holdout") for i in range(9)], "source_row_id bigint, split string").write.parquet(str(tmp_path / "split_assignments.parquet"))
+    got = {r["id"]: (r["label"], r["score"]) for r in complement_nb_scores(spark, str(tmp_path)).collect()}
+    assert set(got) == {4, 5, 6, 7, 8} and got[4][0] == "high" and got[4][1] > 0
+    assert all(got[i] == ("high", 0.0) for i in (5, 6, 7, 8))
+
+
 def brute_shapley(nodes, x, n):
     def expect(k, known):
         node = nodes[k]

@@ -27,9 +27,15 @@ def complement_nb_weights(values: DataFrame, labels: DataFrame, id_col: str, lab
     return grid.join(F.broadcast(mass), "label").select("feature", "label", (-F.log(F.col("c") / F.col("mass"))).alias("weight"))
 
 
-def linear_scores(values: DataFrame, weights: DataFrame, intercepts: DataFrame | None = None) -> DataFrame:
-    """(id, label, score): sum of weight times value over known features, plus the label's intercept."""
+def linear_scores(values: DataFrame, weights: DataFrame, intercepts: DataFrame | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """(id, label, score): sum of weight times value over known features, plus the label's intercept.
+
+    With ids, a column id, each of them has a score for every label of the weights, 0 without a known feature.
+    """
     scores = values.join(weights, "feature").groupBy("id", "label").agg(F.sum(F.col("value") * F.col("weight")).alias("score"))
+    if ids is not None:
+        grid = ids.where("id is not null").select("id").distinct().crossJoin(F.broadcast(weights.select("label").distinct()))
+        scores = grid.join(scores, ["id", "label"], "left").select("id", "label", F.coalesce("score", F.lit(0.0)).alias("score"))
     if intercepts is None:
         return scores
     return scores.join(F.broadcast(intercepts), "label").select("id", "label", (F.col("score") + F.col("intercept")).alias("score"))

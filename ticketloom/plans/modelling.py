@@ -83,9 +83,11 @@ def _nb(d):
 
 
 def complement_nb_scores(spark, sf):
+    """A label for every held-out record, also for those without a word of the training rows."""
     d = _base(spark, sf)
-    _, w = _nb(d)
-    best = M.best_label(M.linear_scores(_words(d.where("split <> 'training'")), w), 6)
+    w = written(_nb(d)[1], "weights")
+    held = d.where("split <> 'training'")
+    best = M.best_label(M.linear_scores(_words(held), w, ids=held.select(F.col("record_id").alias("id"))), 6)
     return _r(best, "score")
 
 
