@@ -1,13 +1,13 @@
 """Exact similarity self-join of word sets at a Jaccard threshold.
 
-Several global token orders filter the candidates before any pair is verified.
-Under order 1 (rare words first, by a fixed-size frequency sketch) two sets
+Prefixes and a bound filter the candidates before any pair is verified. Under
+order 1 (rare words first, by a fixed-size frequency sketch) two sets
 that reach the threshold share at least one word of their prefixes, at least
 two of prefixes longer by one, and so on; groups that are large under the
 first shared word are therefore split by the second and third shared word.
-Orders 2 and 3 put either half of the hash space first: a near pair differs in
-few words of those prefixes, which 64-bit parities of each bound from below.
-A pair must pass all orders, the size and the position filter before its word
+In place of prefixes under further orders, 64-bit parities of the words in
+either half of the hash space bound the difference of two sets from below. A
+pair must pass this bound, the size and the position filter before its word
 sets are compared. All filters are necessary conditions, so no pair is lost.
 """
 
