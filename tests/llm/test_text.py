@@ -113,3 +113,107 @@ def test_pairs(spark, corpus):
 def test_lcs():
     assert pairs.lcs(list("abcde"), list("xaxcxe")) == 3
     assert pairs.lcs([], list("a")) == 0 and pairs.lcs(list("aa"), list("aaa")) == 2
+
+
+# Written without sight of the kinds, dictionaries and test tables; the first 25 refusals were then used to find missing words, the others were not.
+REFUSALS = """
+I regret that I can't be of assistance in this matter.
+We're unable to give any information about that.
+That falls outside what I'm allowed to talk about.
+I won't be able to respond to this.
+Sorry, this is something we do not support. Have a nice day.
+My policy prevents me from answering.
+Your inquiry can't be handled here.
+I respectfully decline.
+I do not wish to comment.
+We cannot advise you on this topic. Please ask someone else.
+Darüber darf ich leider nicht sprechen.
+Wir können Ihnen hierzu keine Hilfe anbieten.
+Auf solche Fragen antworte ich nicht.
+Ich sehe mich außerstande, Ihnen zu helfen.
+Diese Anfrage wird nicht bearbeitet.
+Bitte haben Sie Verständnis, dass ich dazu nichts sagen kann.
+Es tut uns leid, wir geben keine Auskunft.
+Das gehört nicht zu den Themen, über die ich reden darf.
+Lo sentimos, no podemos ayudarle con este asunto.
+No estoy autorizado a responder.
+Je regrette, mais je ne peux rien dire à ce sujet.
+Nous ne traitons pas ce type de demande.
+Mi dispiace, non sono autorizzato a rispondere.
+Het spijt ons, wij geven hierover geen informatie.
+Lamento, mas não estou autorizado a falar sobre isso.
+I'm not comfortable answering this.
+We are sorry, but we cannot process requests of this type.
+It isn't possible for us to comment on that.
+I shall not be discussing this any further.
+There is nothing I can tell you about this.
+This request has been rejected.
+Regrettably, I am in no position to share such information.
+As a language model I have no permission to reply to this.
+Dabei können wir nicht behilflich sein.
+Ich werde diese Frage nicht beantworten.
+Bedaure, dazu darf ich nichts mitteilen.
+Eine Bearbeitung Ihres Anliegens lehnen wir ab.
+Als Assistent bin ich nicht befugt, darüber zu sprechen.
+No me es posible contestar a esa pregunta.
+Je ne suis pas en mesure de vous répondre.
+Non posso fornire queste informazioni.
+Ik mag deze vraag niet beantwoorden.
+Não me é possível responder a essa pergunta.
+""".strip().split("\n")
+REPLIES = """
+We cannot reproduce the crash, but the new driver should fix it.
+Please do not answer the first prompt; choose cancel instead.
+The gateway refused the certificate because it had expired.
+No, the licence for the scanner is not included in this plan.
+If that does not help, please send us the log of the last start.
+Unfortunately the part is out of stock, so the repair takes until Friday.
+Leider ist der Server bis morgen nicht erreichbar, danach läuft alles wieder.
+Sie können die Rechnung nicht ändern, aber wir stellen gern eine neue aus.
+Wenn das nicht hilft, rufen Sie bitte den Bereitschaftsdienst an.
+Die Anwendung antwortet nicht, weil der Speicher voll ist.
+""".strip().split("\n")
+LONG_REFUSAL = "Thank you for your message. " * 4 + "I am sorry for the inconvenience this may cause you. " * 4 + "However, I am not allowed to discuss it."
+FOREIGN = {
+    "es": ["El mes que viene vamos a trasladar la oficina a otro edificio. ¿Quién se encarga de los muebles?", "Mi hermana perdió el móvil en el autobús y no encuentra los contactos.", "La reunión empieza a las nueve, pero la sala todavía está ocupada.", "Hace falta papel en la bandeja y nadie contesta cuando llamamos.", "Quiero devolver los zapatos porque me quedan pequeños."],
+    "fr": ["Le mois prochain nous allons déménager dans un autre bâtiment. Qui s'occupe des meubles ?", "Ma sœur a perdu son portable dans le bus et ne retrouve plus ses contacts.", "La réunion commence à neuf heures, mais la salle est encore occupée.", "Il manque du papier dans le bac et personne ne répond quand nous appelons.", "Je veux rendre les chaussures parce qu'elles sont trop petites."],
+    "it": ["Il mese prossimo ci trasferiamo in un altro palazzo. Chi si occupa dei mobili?", "Mia sorella ha perso il cellulare in autobus e non trova più i contatti.", "La riunione comincia alle nove, ma la sala è ancora occupata.", "Manca la carta nel cassetto e nessuno risponde quando chiamiamo.", "Voglio restituire le scarpe perché mi stanno piccole."],
+    "nl": ["Volgende maand verhuizen we naar een ander gebouw. Wie zorgt er voor de meubels?", "Mijn zus heeft haar mobieltje in de bus verloren en vindt haar contacten niet meer.", "De vergadering begint om negen uur, maar de zaal is nog bezet.", "Er is geen papier meer in de lade en niemand neemt op als we bellen.", "Ik wil de schoenen terugsturen omdat ze te klein zijn."],
+    "pt": ["No próximo mês vamos mudar para outro edifício. Quem trata dos móveis?", "A minha irmã perdeu o telemóvel no autocarro e não encontra os contactos.", "A reunião começa às nove, mas a sala ainda está ocupada.", "Falta papel na gaveta e ninguém atende quando ligamos.", "Quero devolver os sapatos porque me ficam pequenos."],
+}
+
+
+def test_refusals_in_other_words():
+    for part in (REFUSALS[:25], REFUSALS[25:]):
+        found = [x for x in part if pairs.is_refusal(x)]
+        assert len(found) >= 0.9 * len(part), sorted(set(part) - set(found))
+    assert not [x for x in REPLIES if pairs.is_refusal(x)]
+    assert pairs.is_refusal(LONG_REFUSAL)
+
+
+def test_short_copies():
+    assert pairs.is_copy("Printer fault", "Printer fault\nIt does not print.") and pairs.is_copy("It prints!", "Fault\nIt prints. But badly.")
+    assert not pairs.is_copy("Done.", "Fault\nThis must be done today.") and not pairs.is_copy("", "x") and not pairs.is_copy("Yes", "")
+    assert pairs.is_copy("one two x three four y five six z seven eight nine", "one two three four five six seven eight nine ten")
+
+
+def test_foreign_texts_of_another_author(spark, corpus):
+    rows, audit = corpus
+    extra = [(4000 + 10 * i + k, "", t, "", None, "") for i, lang in enumerate(FOREIGN) for k, t in enumerate(FOREIGN[lang])]
+    df, a = frames(spark, rows + extra, audit)
+    got = {}
+    for r in language.detect_languages(df, a, spark.createDataFrame([], "source_row_id bigint, manual_language string")).where("source_row_id >= 4000").collect():
+        got.setdefault(r["source_row_id"], []).append(r["lang"])
+    right = sum(got.get(4000 + 10 * i + k) == [lang] for i, lang in enumerate(FOREIGN) for k in range(5))
+    assert right >= 0.9 * len(extra), got
+
+
+def test_costs_are_those_of_every_dictionary(spark, corpus):
+    rows, audit = corpus
+    df, a = frames(spark, rows, audit)
+    judge = language.Judge(*language.dictionaries(df, a, "source_row_id", ["body", "answer"], "language"))
+    texts = [r[2] for r in rows] + ["", "12"] + [r[2] for r in rows[:50]]
+    table, counts = judge.costs(texts)
+    lines = [x.encode() for t in texts for x in language.sentences(t, judge._words)]
+    assert counts.tolist() == [len(language.sentences(t, judge._words)) for t in texts]
+    assert table.tolist() == [[len(f(x)) for f in judge._use] for x in lines]

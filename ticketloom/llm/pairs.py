@@ -1,7 +1,16 @@
-"""Defective prompt and response pairs."""
+"""Defective prompt and response pairs.
+
+Copies are found by the share of the response's shingles that the prompt
+contains and by their longest common subsequence. For refusals every sentence
+of a response is written as the kinds of its words (denial, ability, act of
+answering, its object, speaker...) and aligned to templates of such kinds, so
+a refusal is known by what it says and not by its wording. Other languages are
+told by the compression costs of problem 4.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,22 +18,22 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketloom.llm.language import FIRST, Judge, dictionaries
+from ticketloom.llm.language import COMMON, Judge, dictionaries
 from ticketloom.llm.residue import plain
 from ticketloom.session import written
 
 #: Words of a shingle; share of the response's shingles, and of its words in common order, that make a copy.
 SHINGLE = 3
 CONTAINED = 0.5
-#: Share of the response's blank-separated strings that the prompt has, at least, for a copy to be looked for.
-LIKE = 0.25
 COMMON_ORDER = 0.7
-#: Share of a refusal template's words that a sentence has in common order with it, and the other way round.
-ALIGNED = 0.72
-#: Characters beyond which a response does not only decline.
-LONG_REFUSAL = 240
+#: Words from which an incomplete copy is one.
+PARTIAL = 6
+#: Share of a declining sentence's words that may be of no kind.
+UNRELATED = 0.25
 #: Bytes by which the languages of a prompt and of its response must win to be compared.
 FOREIGN_BYTES = 4
+#: Strings of which a worker keeps the words; when there are more, it begins anew.
+KEPT = 200_000
 
 # Words that stand for nothing.
 NOTHING = frozenset("n a na nan nil none null nothing no answer empty blank undefined tbd todo keine kein antwort nichts leer entfällt ohne nada ninguna ninguno rien aucun aucune néant niente nessuna nessuno vuoto geen niets leeg nenhum nenhuma vazio sem".split())
@@ -39,97 +48,38 @@ SIGN_OFF = (
 )
 #: Last lines that follow a finished text: a reference to the case.
 REFERENCE = r"(?:case|ticket|reference|ref|incident|request|id|fall|vorgang|ticketnummer|kennung|nummer|caso|dossier|cas|zaak|pratica|processo)\W{0,4}(?:no\W{0,2}|nr\W{0,2})?[\p{Lu}\d-]*\d[\p{L}\d-]*"
-# Sentences that only decline, for alignment; the words of other sentences may differ in part.
-REFUSALS = """
-i'm sorry but i can't help with that
-i am sorry but i cannot assist with this request
-i am unable to help you with this
-i am not able to assist with this request
-i must decline to comment on this
-i have to decline this request
-i'd rather not respond to this message
-i would prefer not to answer that
-i won't answer this question
-unfortunately we are unable to answer this question
-my guidelines do not allow me to discuss it
-that is something i cannot provide
-i cannot provide that information
-i cannot give an answer here
-as an automated assistant i cannot give an answer here
-as an ai language model i cannot answer that
-it is not possible for me to fulfil your request
-my guidelines do not allow me to talk about this
-my instructions don't permit me to discuss this
-this lies outside of what i may answer so i have to leave it there
-this is beyond what i am allowed to answer
-we do not deal with requests of this kind
-we do not answer requests like this
-sorry no support can be offered for this matter
-no help can be given in this case
-unfortunately we cannot answer your request
-i am not allowed to answer this question
-es tut mir leid aber dabei kann ich nicht helfen
-leider kann ich ihnen dabei nicht helfen
-ich kann diese anfrage leider nicht beantworten
-auf diese nachricht gehe ich lieber nicht ein
-dazu möchte ich mich nicht äußern
-dazu kann ich keine auskunft geben
-ich muss es ablehnen mich dazu zu äußern
-das kann ich nicht zur verfügung stellen
-das ist etwas das ich nicht bereitstellen kann
-es ist mir nicht möglich ihrer bitte nachzukommen
-ich bin nicht in der lage bei dieser anfrage zu helfen
-meine vorgaben erlauben es nicht darüber zu sprechen
-meine richtlinien lassen es nicht zu darauf zu antworten
-in dieser sache kann keine unterstützung angeboten werden
-als automatischer assistent darf ich hierzu keine antwort geben
-als sprachmodell kann ich das nicht beantworten
-dies liegt außerhalb dessen was ich beantworten darf daher muss ich hier enden
-anfragen dieser art bearbeiten wir nicht
-wir bearbeiten solche anfragen nicht
-ich darf diese frage nicht beantworten
-leider können wir diese frage nicht beantworten
-lo siento pero no puedo ayudar con eso
-no puedo responder a esta solicitud
-je suis désolé mais je ne peux pas vous aider
-je ne peux pas répondre à cette demande
-mi dispiace ma non posso aiutarla con questo
-non posso rispondere a questa richiesta
-het spijt me maar daarmee kan ik niet helpen
-ik kan deze vraag niet beantwoorden
-desculpe mas não posso ajudar com isso
-não posso responder a este pedido
-""".strip().split("\n")
-# Courtesies that may stand beside a refusal.
-COURTESIES = """
-thank you for your understanding
-thanks for your patience
-thank you for your message
-i hope you find the help you need
-i hope you find help elsewhere
-is there anything else you need
-is there anything else i can do for you
-please contact another office
-please turn to somebody else
-sorry for the inconvenience
-vielen dank für ihr verständnis
-danke für ihre nachricht
-ich hoffe sie finden anderswo hilfe
-ich hoffe sie finden die hilfe die sie brauchen
-brauchen sie sonst noch etwas
-kann ich sonst noch etwas für sie tun
-bitte wenden sie sich an eine andere stelle
-ich bitte um verständnis
-gracias por su comprensión
-merci de votre compréhension
-grazie per la comprensione
-dank u voor uw begrip
-obrigado pela compreensão
-""".strip().split("\n")
+# Kinds of words, by which refusals and courtesies are told; * stands for any ending.
+KINDS = {
+    "N": "without außerstande ohne sin sans senza zonder sem nor neither weder noch ni not no never cannot can't cant couldn't won't wouldn't don't doesn't isn't aren't mustn't mayn't nothing none unable impossible nicht kein keine keinen keinem keiner keinerlei nie niemals nichts unmöglich nunca nada ningún ninguna imposible ne pas jamais aucun aucune rien impossible n'est n'ai non nessun nessuna nessuno niente mai impossibile niet geen nooit niets onmogelijk não nenhum nenhuma impossível",
+    "A": "außerstande capable position prevent* forbid* forbidden prohibit* untersag* verboten verbiet* hindern vermag darfst authoriz* autoris* autoriz* prohib* interdi* vietat* verboden proib* can cannot can't cant could couldn't able unable may might allow* permit* possible willing position authorised authorized want wish capable empowered kann können könnten darf dürfen möglich lage erlaub* befugt gestatt* zulässig imstande lassen lässt möchte möchten will wollen puedo podemos puede pueden posible autorizad* quiero peux pouvons peut possible autoris* permet* posso possiamo può possibile permess* autorizzat* grado kan kunnen mag mogen mogelijk toegestaan bevoegd staat podem pode possível permitid*",
+    "R": "unanswered unbeantwortet declin* refus* reject* abstain* refrain* ablehn* abzulehnen verweiger* lehne lehnen weiger* enthalt* absehen rechaz* deneg* niego negar abst* décline* rifiut* weiger* afwijz* recus*",
+    "H": "reden rede redet tell telling cover covers reveal* respuesta ayuda réponse aide dire trait* risposta aiuto antwoorden hulp uitleg resposta ajuda falar hablar parler parlare praten tratar tratamos decir decirle dizer engage participate entertain weitersag* preisgeb* beraten beratung behandeln eingegangen geäußert help* assist* answer* respond* response* reply replies comment* discuss* support* provid* offer* give given giving share sharing disclos* advis* advice handle* deal dealt process* fulfil* fulfill* comply accommodat* address* talk* speak* say saying guidance information statement opinion helf* geholfen hilfe beantwort* antwort* auskunft auskünfte unterstütz* äußer* kommentar* sagen mitteil* weitergeb* weiterzugeben bereitstell* bereitzustellen verfügung anbiet* anzubieten angeboten bearbeit* stellung sage sagt nachkomm* nachzukomm* eingehen einzugehen gehe gehen weiterhelf* weiterzuhelf* behilflich besprech* sprechen diskut* erfüll* leisten geben informier* aussage ayud* respond* contest* coment* asist* ofrec* proporcion* inform* apoy* atender aid* répond* fourni* donner renseign* traiter discuter aiut* rispond* forni* offr* dare discut* beantwoord* antwoord* reager* bijstaan bied* verstrek* ondersteun* bespreken behandel* geven ajud* oferec* fornec* prestar",
+    "T": "themen type types tipo tipi soort genre art tema temas argomenti onderwerpen sujets assuntos inhalt* request this that it these such request* question* message* matter* inquir* enquir* query queries topic* subject* issue* case kind something anything dies* das es anfrage* frage* nachricht* anliegen sache* thema fall bitte bitten art hierbei hierauf hiervon hierüber dabei hierzu dazu damit darauf darüber daran etwas solche* derartige* ihnen you sie dir solicitud* pregunta* consulta* mensaje asunto tema eso esto demande* sujet cela ça richiesta richieste domanda domande messaggio argomento questo ciò vraag vragen verzoek bericht onderwerp dit dat pedido* pergunta* mensagem assunto isto isso",
+    "I": "i i'm i'd i'll i've we we're we'd me us my our ich wir mir mich uns mein* unser* yo nosotros puedo podemos siento lamento lamentamos nuestr* je j'ai nous peux pouvons mes io noi posso possiamo mi ik wij we mij ons eu nós meu minha",
+    "S": "sorry afraid unfortunately regret* apolog* leider bedauer* leid entschuldig* siento lament* desgraciadamente désolé* regrett* malheureusement dispiace spiac* purtroppo spijt* helaas desculp* infelizmente",
+    "L": "purview remits limits grenzen befugnis* competencia* compétence* competenz* bevoegdheid* guideline* polic* rule* instruction* outside beyond scope remit richtlinie* vorgabe* regel* anweisung* außerhalb jenseits rahmen zuständig* normas política* directrices fuera règle* consigne* dehors regole direttive fuori richtlijn* regels buiten regras fora",
+    "W": "assistant* automated automatic ai bot model language assistent* automat* sprachmodell ki modelo lenguaje modèle langage modello linguistico taalmodel linguagem",
+    "C": "thank* thanks appreciate dank* vielen verständnis gracias merci grazie bedankt begrip obrigad* understanding patience geduld comprensión compréhension comprensione compreensão inconvenien* unannehmlich*",
+    "D": "nice schönen schöne angenehmen alles buen bonne buona fijne bom boa luck glück hope wish hoffe hoffen wünsche* espero espère espérons spero hoop",
+    "E": "elsewhere else other another somebody someone anderswo andere* sonst weitere* jemand otra otro autre ailleurs altro altra altrove elders ander* outra outro kollege* colleague* department abteilung stelle office",
+    "P": "contact turn ask visit try consult call wenden kontaktieren fragen versuchen suchen póngase contacte contactez contatti contattare neem contacteer need brauchen gibt find finden",
+    "X": "if unless until when once wenn sobald solange si cuando quand lorsque quando zodra",
+}
+# What a declining sentence says, as kinds of words in order.
+DECLINING = ("NAH", "ANH", "AHN", "NH", "HN", "HAN", "LAH", "LHA", "LNA", "R", "HNA", "HL", "LH", "LIH")
+#: The same without an act of answering, if all words of the sentence have a kind.
+BARE = ("TNA", "NAT", "TAN", "TL")
+# Function words beside the common ones of a language.
+FUNCTION = frozenset(
+    "über gehört gehören sehe sehen estoy estamos soy suis sommes sono siamo ben zijn sou estou somos falls fall there here therefore thus hence must should would shall these those some such very just rather been being into upon since while because though only even well too muss müssen musst sollte sollten würde würden dessen deren daher deshalb darum hier dort liegt liegen diese dieser dieses diesem diesen mein dein sein ihr ihm ihnen uns euch mehr sehr gern gerne lieber eher doch schon mal jetzt nun so soweit insofern bleibt bleiben"
+    " aquí allí entonces debe debemos debería esta este estas estos muy así ahora ici alors donc dois devons devrait cette votre vos très ainsi maintenant suite qui quoi deve dobbiamo dovrebbe questa questi queste molto così adesso qui lì quindi vostra vostro sua suo hier daar dus moet moeten zou zouden deze onze jouw heel nu hierbij hiermee hierop aqui ali então deve devemos esta este estes muito assim agora vossa vosso".split()
+)
+# Content words among the common ones of a language.
+_CONTENT = frozenset("problem error computer login password invoice licence printer connection file open work fehler rechner anmeldung kennwort rechnung lizenz drucker verbindung datei öffnen funktioniert".split())
 
 _NAMES = regex.compile(r"<\s*/?\s*[\p{L}_]{1,20}\s*/?>")
 _WORD = regex.compile(r"[\p{L}\p{N}']+")
-_LETTERS = regex.compile(r"[\p{L}\p{N}]+")
+_LETTERS = re.compile(r"[^\W_]+")
 _BEGINS = regex.compile(rf"^\W*{SALUTATION}[^.!?\n]{{0,60}}?(?:[,!:.\n]|$)\s*", regex.IGNORECASE)
 _ENDS = regex.compile(rf"(?:^|(?<=[\s.!?,;\n>])){SIGN_OFF}\b[\s,.!-]*(?:[\p{{L}}.'_<>-]+[\s,.]*){{0,4}}$", regex.IGNORECASE)
 _REFERRED = regex.compile(rf"(?:^|[\s.!?\n(\[])[(\[]?{REFERENCE}[)\]]?\s*$", regex.IGNORECASE)
@@ -138,7 +88,7 @@ _NUMBERED = regex.compile(r"(?:^|\n|[.!?:]\s+)\s*(?:\d{1,2}[.)]|[-*•])\s*$")
 _CUT = regex.compile(r"(?<=[.!?…])[\"'”“»)]*\s+|\s*\n\s*")
 
 
-def lcs(a: list[str], b: list[str]) -> int:
+def lcs(a: list[str], b: list[str] | str) -> int:
     """Length of the longest common subsequence, by bit-parallel steps."""
     masks: dict[str, int] = {}
     for i, w in enumerate(a):
@@ -152,28 +102,40 @@ def lcs(a: list[str], b: list[str]) -> int:
     return len(a) - v.bit_count()
 
 
-def _aligner(templates: list[str]):
-    known = [_WORD.findall(t) for t in templates]
-    index: dict[str, set[int]] = {}
-    for k, t in enumerate(known):
-        for w in t:
-            index.setdefault(w, set()).add(k)
-
-    def aligned(words: list[str]) -> bool:
-        seen: dict[int, int] = {}
-        for w in set(words):
-            for k in index.get(w, ()):
-                seen[k] = seen.get(k, 0) + 1
-        for k, n in seen.items():
-            t = known[k]
-            if n >= ALIGNED * max(len(set(t)), 0.8 * len(set(words))) and lcs(t, words) >= ALIGNED * max(len(t), 0.8 * len(words)):
-                return True
-        return False
+class _Kinds(dict):
+    """Words to the letters of their kinds; O: of none, empty: a function word. Bounded by KEPT."""
+
+    def __init__(self):
+        super().__init__()
+        self._exact: dict[str, str] = {}
+        self._stems: dict[str, str] = {}
+        for kind, words in KINDS.items():
+            for w in dict.fromkeys(words.split()):
+                to = self._stems if w.endswith("*") else self._exact
+                to[w.rstrip("*")] = to.get(w.rstrip("*"), "") + kind
+        self._function = FUNCTION.union(*(text.split() for text in COMMON.values())) - _CONTENT
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= KEPT:
+            self.clear()
+        out = self._exact.get(word, "") or next((self._stems[word[:n]] for n in range(len(word), 2, -1) if word[:n] in self._stems), "")
+        if not out and len(word) > 3 and word not in self._function:
+            out = "O"
+        self[word] = out
+        return out
+
 
-    return aligned
+class _Parts(dict):
+    """Blank-separated strings to the words in them, each after a blank. Bounded by KEPT."""
 
+    def __missing__(self, token: str) -> str:
+        if len(self) >= KEPT:
+            self.clear()
+        out = self[token] = "".join([" " + w for w in _LETTERS.findall(token.lower())])
+        return out
 
-_refuses, _is_courtesy = _aligner(REFUSALS), _aligner(COURTESIES)
+
+_kinds, _parts = _Kinds(), _Parts()
 
 
 def content(text: str) -> tuple[str, bool]:
@@ -183,8 +145,7 @@ def content(text: str) -> tuple[str, bool]:
     last = body[-1:]
     closed = (last.isalnum() or last in ")]") and bool(_REFERRED.search(body[-80:]))
     tail = body[-160:]
-    #: A long text that ends as a sentence needs no search for a sign-off.
-    m = _ENDS.search(tail) if len(body) < 160 or last not in ".!?" else None
+    m = _ENDS.search(tail)
     if m:
         body, closed = body[: len(body) - len(tail) + m.start()], True
     return body.strip(), closed
@@ -195,23 +156,36 @@ def is_empty(body: str) -> bool:
     return all(m.group().lower() in NOTHING for m in _LETTERS.finditer(text))
 
 
-def is_refusal(body: str) -> bool:
-    """Whether every sentence declines or is a courtesy, one of them declining."""
-    if len(body) > LONG_REFUSAL:
+def declines(words: list[str]) -> bool:
+    """Whether a sentence only declines to answer: it aligns to a template, names no condition and hardly anything else."""
+    kinds = "".join([_kinds[w] for w in words])
+    if "X" in kinds or words[0] == "falls" or not ("R" in kinds or "N" in kinds or "L" in kinds or "A" in kinds):
         return False
-    parts = [p for p in _CUT.split(body.lower().replace("’", "'")) if _LETTERS.search(p)]
-    if not 0 < len(parts) <= 4:
+    other = kinds.count("O")
+    most = max(1, UNRELATED * len(words)) if "I" in kinds else 0
+    return any(lcs(list(t), kinds) == len(t) for t in (DECLINING if other <= most else ()) + (BARE if not other else ()))
+
+
+def is_courtesy(words: list[str]) -> bool:
+    """Whether a sentence thanks, regrets, wishes or points elsewhere."""
+    kinds = "".join([_kinds[w] for w in words])
+    if kinds.count("O") > max(1, UNRELATED * len(words)):
         return False
-    declines = False
-    for p in parts:
-        words = _WORD.findall(_NAMES.sub(" ", p))
+    return "C" in kinds or "D" in kinds or ("E" in kinds and ("P" in kinds or "H" in kinds or "A" in kinds)) or ("S" in kinds and "O" not in kinds)
+
+
+def is_refusal(body: str) -> bool:
+    """Whether every sentence declines or is a courtesy, one of them declining."""
+    found = False
+    for p in _CUT.split(body.lower().replace("’", "'")):
+        words = _WORD.findall(_NAMES.sub(" ", p) if "<" in p else p)
         if not words:
             continue
-        if _refuses(words):
-            declines = True
-        elif not _is_courtesy(words):
+        if declines(words):
+            found = True
+        elif not is_courtesy(words):
             return False
-    return declines
+    return found
 
 
 def is_truncated(body: str, closed: bool) -> bool:
@@ -224,58 +198,52 @@ def is_truncated(body: str, closed: bool) -> bool:
     return not _FINISHED.search(end) and len(_WORD.findall(body)) >= 4
 
 
-def is_copy(response: list[str], prompt: list[str]) -> bool:
-    """Whether the response's words are the prompt's, by shingles and by common order."""
-    n = len(response)
-    if n < 3 or not prompt:
+def is_copy(response: str, prompt: str) -> bool:
+    """Whether the response's words are the prompt's, by shingles and by common order; shorter ones than a shingle, if they are a line or sentence of it."""
+    own = "".join([_parts[t] for t in response.split()])
+    mine = own.split()
+    n = len(mine)
+    if not n:
         return False
-    words = set(response)
-    if len(words & set(prompt)) < 0.4 * len(words):
+    if n < SHINGLE:
+        return any("".join([_parts[t] for t in p.split()]) == own for p in _CUT.split(prompt))
+    theirs = "".join([_parts[t] for t in prompt.split()])
+    asked = theirs.split()
+    known = set(asked)
+    common = sum([w in known for w in mine])
+    shingles = {" " + " ".join(mine[i : i + SHINGLE]) + " " for i in range(n - SHINGLE + 1)}
+    if 2 * common < len(shingles):  # each shared shingle begins at a common word
         return False
-    k = min(SHINGLE, n)
-    mine = {tuple(response[i : i + k]) for i in range(n - k + 1)}
-    theirs = {tuple(prompt[i : i + k]) for i in range(len(prompt) - k + 1)}
-    contained = len(mine & theirs) / len(mine)
+    theirs += " "
+    contained = sum([x in theirs for x in shingles]) / len(shingles)
     if contained >= CONTAINED:
-        return n >= 6 or contained == 1.0
-    return contained >= 0.2 and n >= 6 and lcs(response, prompt) >= COMMON_ORDER * n
+        return n >= PARTIAL or contained == 1.0
+    return n >= PARTIAL and common >= COMMON_ORDER * n and lcs(mine, asked) >= COMMON_ORDER * n
 
 
-class Languages:
-    """Whether a response is in another language than its prompt."""
-
-    def __init__(self, judge: Judge):
-        self._judge = judge
-
-    def foreign(self, response: str, prompt: str) -> bool:
-        asked, sure = self._judge.best(prompt, FIRST)
-        if sure < FOREIGN_BYTES:
-            return False
-        said, win = self._judge.best(response, (asked,))
-        if said == asked or win < FOREIGN_BYTES:
-            return False
-        langs, _, _ = self._judge.stretches(prompt)
-        return said not in langs
-
-
-def defect(subject: str | None, body: str | None, answer: str | None, languages: Languages) -> str | None:
-    """The defect type of a pair: empty, copy, refusal, truncated or other_language; the first of them that holds."""
+def defect(subject: str | None, body: str | None, answer: str | None) -> tuple[str | None, str]:
+    """The defect type of a pair, empty, copy, refusal or truncated, the first of them that holds; and the content of the answer."""
     if answer is None:
-        return "empty"
+        return "empty", ""
     own, closed = content(answer)
     if is_empty(own):
-        return "empty"
-    prompt = f"{subject or ''}\n{body or ''}"
-    mine = set(own.lower().split())
-    if len(mine & set(prompt.lower().split())) >= LIKE * len(mine) and is_copy(_LETTERS.findall(own.lower()), _LETTERS.findall(plain(prompt).lower())):
-        return "copy"
+        return "empty", own
+    if is_copy(own, plain(f"{subject or ''}\n{body or ''}")):
+        return "copy", own
     if is_refusal(own):
-        return "refusal"
-    if is_truncated(own, closed):
-        return "truncated"
-    if body and languages.foreign(own, body):
-        return "other_language"
-    return None
+        return "refusal", own
+    return ("truncated" if is_truncated(own, closed) else None), own
+
+
+def foreign(judge: Judge, prompts: list[str], responses: list[str]) -> list[bool]:
+    """Whether each response is in a language in which no stretch of its prompt is, both being clear."""
+    _, asked, sure = judge.totals(prompts)
+    _, said, win = judge.totals(responses)
+    out = (asked != said) & (sure >= FOREIGN_BYTES) & (win >= FOREIGN_BYTES)
+    at = out.nonzero()[0].tolist()
+    for i, langs in zip(at, judge.stretches([prompts[i] for i in at])[0]):
+        out[i] = int(said[i]) not in langs
+    return out.tolist()
 
 
 def broken_pairs(tickets: DataFrame, audit: DataFrame, id_col: str = "source_row_id", subject_col: str = "subject", body_col: str = "body", answer_col: str = "answer", label_col: str = "language") -> DataFrame:
@@ -289,9 +257,15 @@ def broken_pairs(tickets: DataFrame, audit: DataFrame, id_col: str = "source_row
     texts = tickets.sparkSession.sparkContext.broadcast(dictionaries(tickets, audit, id_col, [body_col, answer_col], label_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages = Languages(Judge(*texts.value))
+        judge = Judge(*texts.value)
         for b in batches:
-            kinds = [defect(s, p, a, languages) for s, p, a in zip(*(b.column(c).to_pylist() for c in ("subject", "body", "answer")))]
+            bodies = b.column("body").to_pylist()
+            judged = [defect(*row) for row in zip(b.column("subject").to_pylist(), bodies, b.column("answer").to_pylist())]
+            kinds = [k for k, _ in judged]
+            whole = [i for i, k in enumerate(kinds) if k is None]
+            for i, other in zip(whole, foreign(judge, [bodies[i] or "" for i in whole], [judged[i][1] for i in whole])):
+                if other:
+                    kinds[i] = "other_language"
             at = [i for i, k in enumerate(kinds) if k]
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at, pa.int64())), pa.array([kinds[i] for i in at], pa.string())], names=["id", "defect_type"])
 
