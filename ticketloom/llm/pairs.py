@@ -46,6 +46,8 @@ SIGN_OFF = (
     r"(?:(?:kind|best|warm|with (?:kind|best)|many) (?:regards|wishes|thanks)|regards|best wishes|(?:yours )?(?:sincerely|faithfully|truly)|thanks(?: in advance| a lot)?|thank you(?: very much)?|cheers|all the best|(?:mit )?(?:freundlich|best|viel|schön|lieb|herzlich)\w* gr(?:ü|ue)(?:ß|ss)(?:en|e)?|gr(?:u|ü)(?:ß|ss)e?|mfg|vielen dank|danke(?: und gruß)?|besten dank"
     r"|cordialement|bien à vous|(?:meilleures|sincères) salutations|merci(?: d'avance)?|(?:un )?(?:cordial )?saludos?(?: cordiales)?|atentamente|gracias|(?:cordiali|distinti) saluti|grazie|(?:met )?vriendelijke groet(?:en)?|(?:hartelijk )?dank|bedankt|atenciosamente|(?:com os melhores )?cumprimentos|obrigad[oa])"
 )
+#: Every SIGN_OFF has a word that begins so.
+CLOSING = ("regards", "wishes", "thank", "sincerely", "faithfully", "truly", "cheers", "best", "gru", "grü", "mfg", "dank", "cordial", "vous", "salut", "merci", "saludo", "atentamente", "gracias", "grazie", "groet", "bedankt", "atenciosamente", "cumprimentos", "obrigad")
 #: Last lines that follow a finished text: a reference to the case.
 REFERENCE = r"(?:case|ticket|reference|ref|incident|request|id|fall|vorgang|ticketnummer|kennung|nummer|caso|dossier|cas|zaak|pratica|processo)\W{0,4}(?:no\W{0,2}|nr\W{0,2})?[\p{Lu}\d-]*\d[\p{L}\d-]*"
 # Kinds of words, by which refusals and courtesies are told; * stands for any ending.
@@ -135,7 +137,17 @@ class _Parts(dict):
         return out
 
 
-_kinds, _parts = _Kinds(), _Parts()
+class _Closing(dict):
+    """Blank-separated strings to whether a word in them may end a message. Bounded by KEPT."""
+
+    def __missing__(self, token: str) -> bool:
+        if len(self) >= KEPT:
+            self.clear()
+        out = self[token] = any(w.startswith(CLOSING) for w in _LETTERS.findall(token.lower()))
+        return out
+
+
+_kinds, _parts, _closing = _Kinds(), _Parts(), _Closing()
 
 
 def content(text: str) -> tuple[str, bool]:
@@ -145,7 +157,7 @@ def content(text: str) -> tuple[str, bool]:
     last = body[-1:]
     closed = (last.isalnum() or last in ")]") and bool(_REFERRED.search(body[-80:]))
     tail = body[-160:]
-    m = _ENDS.search(tail)
+    m = _ENDS.search(tail) if any([_closing[t] for t in tail.split()]) else None
     if m:
         body, closed = body[: len(body) - len(tail) + m.start()], True
     return body.strip(), closed

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,10 +29,17 @@ from pyspark.sql import functions as F
 FEATURES = 1 << 18
 ROUNDS = 4
 ALPHA = 0.1
+#: Words drawn from the whole corpus that are added to those of either class, in words of the positive class: a word that the class lacks counts log(SMOOTH) at least.
+SMOOTH = 0.05
+#: The same for the words around a placeholder, which tell less.
+LIKE_ANY = 2.0
 #: Share of a field's words that residue passages hold, at least.
 CONSISTS = 0.65
-#: Longer fields than this many characters are trusted for lorem ipsum only; the model judges them.
-LONG = 300
+#: Share of a field's words in passages with a seed that makes it trusted; for the passages of fields of up to SHORT words, too.
+SEEDED = 1 / 3
+SHORT = 30
+#: Strings of which a worker keeps the words; when there are more, it begins anew.
+KEPT = 300_000
 PASSAGE, MARK = 0, 1
 
 # What the corpus' own anonymization writes, in any spelling of one edit at most.
@@ -45,23 +53,96 @@ MARKS = {
 }
 _MARK = regex.compile("|".join(f"(?P<{k}>{v})" for k, v in MARKS.items()), regex.IGNORECASE)
 _BRACKET = regex.compile(MARKS["bracket"])
-# Text that only residue consists of; each is looked for in a lower-case passage.
-TRUSTED = (
-    r"\blorem ipsum\b|\bdolor sit amet\b",
-    r"\b(?:asdf\w*|qwert\w*|yxcv\w*|zxcv\w*|sdfg\w*|hjkl\w*)\b.*\b(?:asdf\w*|qwert\w*|jkl\w*|yxcv\w*|zxcv\w*|hjkl\w*)\b|\btest test\b",
-    r"\b(?:sample|placeholder|dummy|filler) (?:text|copy|subject)\b|\b(?:beispiel|platzhalter|muster|füll)(?:text|betreff)\b|\breal content goes here\b",
-    r"\b(?:type|write|enter|describe|put) your (?:message|text|problem|issue|question|request|subject|description)\b|\bhier (?:ihre?n? )?\p{L}+ (?:eingeben|einfügen|eintragen)\b|\bbeschreiben sie hier\b|^\W*todo\b.*\b(?:subject|betreff)\b|^\W*\[?(?:subject|betreff|your subject|no subject)\]?\W*$",
-    r"\b(?:enable|activate|allow|turn on|requires?|needs?|disabled)\b.*\b(?:java ?script|scripts?|scripting|cookies)\b|\b(?:java ?script|scripts?|scripting)\b.*\b(?:enable|disabled|required|allowed|needed|erlaubt|aktivieren|deaktiviert|einschalten|benötigt|erforderlich|turned off)\b|\b(?:aktivieren|skripte|skriptunterstützung)\b.*\b(?:java ?script|einschalten|erlaubt|voraus)\b",
-    r"\b(?:activer|activez|habilite|activar|abilita|attivare|ative|ativar|schakel)\b.*\bjava ?script\b",
-    r"\b(?:4\d\d|50[0-9])\b\W{0,3}(?:-\W)?(?:page |seite )?(?:not found|nicht gefunden|(?:internal |temporary )?(?:server|service|gateway)|service unavailable|bad gateway|forbidden|unauthorized|dienst nicht|bad request)|\b(?:error|fehler|http|erreur|errore|erro|fout)\W{1,3}(?:40\d|50\d)\b|\b(?:page|seite) (?:not found|nicht gefunden)\b",
-    r"\baccess denied\b|\bzugriff verweigert\b|\b(?:session has expired|sitzung ist abgelaufen)\b|\btoo many requests\b|\bzu viele anfragen\b|\binternal server error\b|\binterner serverfehler\b",
-    r"\bfatal error\b|\bschwerer fehler\b|\bstack ?trace\b|\btraceback \(|\bundefined (?:method|variable|index|function)\b|\bnull ?pointer|\bdatabase connection failed\b|\bkeine verbindung zur datenbank\b|\btoo many connections\b",
-    r"\b(?:template|vorlage|plantilla|modèle|modello|sjabloon)\b.*\b(?:could not be|cannot be|konnte nicht|kann nicht)\b.*\b(?:variable|rendered|ausgegeben)\b|\bblindtext\b|\becht\w+ inhalt folgt\b",
-    r"\bsomething went wrong\b|\b(?:etwas ist|ist etwas) (?:schiefgelaufen|schief ?gegangen)\b|\b(?:site|page|website) (?:can(?:no|')t be reached|is not reachable)|\btook too long to respond\b|\bzu lange nicht geantwortet\b|\bchecking your browser\b|\bbrowser wird vor\b",
-)
-_TRUSTED = regex.compile("|".join(f"(?:{x})" for x in TRUSTED))
+# Words of a passage that is trusted to be residue; the first of each line is the rarest.
+SEEDS = """
+ipsum lorem
+amet dolor
+javascript enable
+javascript activate
+javascript disabled
+javascript required
+javascript aktivieren
+javascript deaktiviert
+javascript activer
+javascript activar
+cookies enable
+404 not found
+404 http
+500 server error
+502 http
+503 http
+internal server error
+interner serverfehler
+502 gateway
+504 gateway
+500 serverfehler
+503 dienst
+503 service unavailable
+403 forbidden
+401 unauthorized
+found page not
+gefunden seite nicht
+denied access
+verweigert zugriff
+dummy text
+dummy subject
+placeholder text
+placeholder subject
+sample text
+sample subject
+beispieltext
+beispielbetreff
+platzhaltertext
+platzhalterbetreff
+blindtext
+mustertext
+enter your text
+enter your message
+enter your subject
+type your message
+describe your problem
+eingeben betreff
+eingeben nachricht
+eingeben text
+429 requests
+requests too many
+anfragen zu viele
+fatal error
+fehler schwerer
+exception uncaught
+traceback
+scripting browser
+skriptunterstützung
+skripte erlaubt
+skripte aktivieren
+skripte einschalten
+scripts enable
+scripts allow
+scripts allowed
+placeholder copy
+datenbank verbindung keine
+database connection error
+database connection failed
+erreichbar website nicht
+browser geprüft ihr
+schiefgelaufen etwas
+schiefgegangen etwas
+variable template
+variable vorlage
+reached site can
+respond took too long
+expired session
+abgelaufen sitzung
+unavailable temporarily
+browser checking your
+wrong something went
+denied permission
+rendered template
+"""
+# Runs of letters on a keyboard that no word has.
+RUNS = "asdf sdfg dfgh fghj ghjk hjkl jklö jklk qwer yxcv xcvb cvbn zxcv poiu oiuz oiuy lkjh kjhg jhgf hgfd gfds fdsa"
 # Somebody speaks for themselves, so the text is not trusted to be residue.
-_OWN = regex.compile(r"\b(?:i|my|our|us|ours|ich|mein\w*|uns|unser\w*|wir|mir|nous|notre|nos|nuestr\w+|nostr[oa]|noss[oa]|ons|onze|hello|dear|hallo|sehr geehrte\w*|regards|grüße\w*)\b")
+OWN = "i my our us ours ich mein meine meinen meinem meiner uns unser unsere unseren unserem unserer wir mir nous notre nos nuestro nuestra nuestros nuestras nostro nostra nosso nossa ons onze hello dear hallo sehr regards grüße"
 # Words with which a placeholder is reported and not left over; pseudo-counts for the other class of that model.
 REPORTED = "literal literally wörtlich text prints shows displays zeigt steht druckt statt instead place placeholder platzhalter template vorlage label etikett greet begrüßen appears erscheint mend berichtigen".split()
 _REPORTED = frozenset(REPORTED)
@@ -71,19 +152,41 @@ _LITERALLY = frozenset("literal literally wörtlich placeholder platzhalter".spl
 _ZERO = regex.compile("[​‌‍⁠﻿­]")
 _TAG = regex.compile(r"</?(?:html|body|h\d|hr|br|p|div|span|noscript|b|i|u|a|ul|ol|li|table|tr|td|head|title|script|pre|code|font|strong|em|center|img)\b[^<>]{0,200}>", regex.IGNORECASE)
 _LITERAL = regex.compile(r"\\[nrt]")
-_CUT = regex.compile(r"(?<=[.!?])\s+|\s*\n\s*")
-_WORD = regex.compile(r"\p{L}+|\d+")
-_DIGITS = regex.compile(r"\d+")
-_ids: dict[str, int] = {}
+_WORD = re.compile(r"[^\W\d_]+|\d+")
+_SEED_WORDS = frozenset(SEEDS.split())
+_RUNS = re.compile("|".join(RUNS.split()))
 
 
 def _id(word: str) -> int:
-    found = _ids.get(word)
-    if found is None:
-        if len(_ids) > 500_000:
-            _ids.clear()
-        found = _ids[word] = zlib.crc32(word.encode()) & (FEATURES - 1)
-    return found
+    """The feature of a word; numbers are one, but for those in SEEDS, and noise from the keyboard is one."""
+    if word.isdigit() and word not in _SEED_WORDS:
+        word = "0"
+    elif _RUNS.search(word):
+        word = "noise on the keyboard"
+    return zlib.crc32(word.encode()) & (FEATURES - 1)
+
+
+class _Ids(dict):
+    """Blank-separated lower-case strings to the features of their words. Bounded by KEPT."""
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        if len(self) >= KEPT:
+            self.clear()
+        out = self[token] = tuple(_id(w) for w in _WORD.findall(token))
+        return out
+
+
+_ids = _Ids()
+_NOISE = _id("asdf")
+_SEEDED = {k: [frozenset(map(_id, line.split())) for line in SEEDS.strip().split("\n") if _id(line.split()[0]) == k] for k in {_id(line.split()[0]) for line in SEEDS.strip().split("\n")}}
+_SEEDED[_NOISE] = [frozenset([_NOISE])]
+_KEYS = frozenset(_SEEDED)
+#: Numbers in SEEDS are like all others to the model.
+_NUMBER = _id("0")
+_NUMBERS = frozenset(_id(w) for w in _SEED_WORDS if w.isdigit())
+_OWN = frozenset(map(_id, OWN.split()))
+#: A passage of nothing but a placeholder.
+_PLACE = [_id("phmark")]
 
 
 def _near_proper(inner: str) -> bool:
@@ -132,34 +235,32 @@ def plain(text: str, found: list[tuple[str, int, int]] | None = None) -> str:
     return text if text.isascii() else _ZERO.sub("", text)
 
 
-def passages(parts: list[str]) -> list[list[int]]:
-    """Features of each passage that has words."""
+def passages(flat: str) -> list[list[int]]:
+    """Features of each passage that has words, of a lower-case text."""
     out = []
-    for p in parts:
-        w = [_ids.get(x) or _id(x) for x in _WORD.findall(_DIGITS.sub("0", p))]
+    for p in flat.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").split("\n"):
+        w = [x for t in p.split() for x in _ids[t]]
         if w:
             out.append(w)
     return out
 
 
-def trusted(text: str) -> bool:
-    """Whether fixed patterns leave no doubt that text is residue."""
-    found = placeholders(text)
-    flat = plain(text, found).lower()
-    return _trusted(text, found, flat, _CUT.split(flat))
+def seeded(passage: list[int]) -> bool:
+    """Whether a passage has all words of a line of SEEDS, or noise from the keyboard."""
+    keys = _KEYS.intersection(passage)
+    if not keys:
+        return False
+    words = frozenset(passage)
+    return any(s <= words for k in keys for s in _SEEDED[k])
 
 
-def _trusted(text: str, found: list[tuple[str, int, int]], flat: str, parts: list[str]) -> bool:
-    if found and not _WORD.search("".join(text[x:y] for x, y in zip([0, *(m[2] for m in found)], [*(m[1] for m in found), len(text)]))):
-        return True
-    if (len(flat) > LONG and "lorem ipsum" not in flat) or _OWN.search(flat) or not _TRUSTED.search(flat):
-        return False
-    parts = [p for p in parts if p.strip()]
-    if not 0 < len(parts) <= 12:
+def trusted(lists: list[list[int]]) -> bool:
+    """Whether a field of these passages is trusted to be residue."""
+    sure = [len(w) for w in lists if seeded(w)]
+    if not sure or any(not _OWN.isdisjoint(w) for w in lists):
         return False
-    words = [len(_WORD.findall(p)) for p in parts]
-    hits = [n for p, n in zip(parts, words) if _TRUSTED.search(p)]
-    return sum(hits) * 3 >= sum(words) or (len(hits) * 3 >= len(parts) and sum(words) <= 30)
+    whole = sum(map(len, lists))
+    return sum(sure) >= SEEDED * whole or (len(sure) >= SEEDED * len(lists) and whole <= SHORT)
 
 
 def mark_contexts(text: str, field: str, found: list[tuple[str, int, int]]) -> list[tuple[list[int], int]]:
@@ -171,7 +272,7 @@ def mark_contexts(text: str, field: str, found: list[tuple[str, int, int]]) -> l
         near = _REPORTED.intersection(before + after)
         reported = len(near) > 1 or not _LITERALLY.isdisjoint(near)
         sure = 1 if kind == "fill" or (len(found) > 1 and not reported) else -1 if reported else 0
-        out.append(([_id("kind " + kind), _id("field " + field), *(_id("0" if w[0].isdigit() else w) for w in before + after)], sure))
+        out.append(([_id("kind " + kind), _id("field " + field), *(_id(w) for w in before + after)], sure))
     return out
 
 
@@ -188,11 +289,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not text:
                     continue
                 found = placeholders(text)
-                flat = plain(text, found).lower()
-                parts = _CUT.split(flat)
-                lists = passages(parts)
+                lists = passages(plain(text, found).lower())
                 if lists:
-                    add(key, name, PASSAGE, int(_trusted(text, found, flat, parts)), lists)
+                    sure = int(trusted(lists) or (bool(found) and all(w == _PLACE for w in lists)))
+                    add(key, name, PASSAGE, sure, [w if _NUMBERS.isdisjoint(w) else [_NUMBER if x in _NUMBERS else x for x in w] for w in lists])
                 for features, sure in mark_contexts(text, name, found):
                     add(key, name, MARK, sure, [features])
         yield pa.RecordBatch.from_arrays(
@@ -262,7 +362,9 @@ def fit(features: DataFrame, rounds: int = ROUNDS) -> tuple[bytes, tuple[float,
             part = slice(m * FEATURES, (m + 1) * FEATURES)
             pos = got[part]
             neg = np.maximum(everything[part] - pos, 0)
-            weights[part] = np.log((pos + ALPHA) / (pos.sum() + ALPHA * FEATURES)) - np.log((neg + ALPHA) / (neg.sum() + ALPHA * FEATURES))
+            base = (everything[part] + ALPHA) / (everything[part].sum() + ALPHA * FEATURES)
+            few = (SMOOTH if m == PASSAGE else LIKE_ANY) * pos.sum() + 1
+            weights[part] = np.log((pos + few * base) / (pos.sum() + few)) - np.log((neg + few * base) / (neg.sum() + few))
             p, n = got[2 * FEATURES + 2 * m], got[2 * FEATURES + 2 * m + 1]
             odds.append(math.log((p + 1) / max(1.0, n - p + 1)))
         bias = (odds[0], odds[1])
