@@ -33,10 +33,11 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "ticketloom"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset, a folder of this machine.
+    """spark.checkpoint.dir of the session; only where it is unset and all runs on this machine, a folder of it.
 
     The folder must be visible to all executors: a table in it survives the
-    loss of any of them.
+    loss of any of them. A cluster without one is refused, since tables
+    would be spread over its machines.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
@@ -44,6 +45,8 @@ def shared_folder(spark: SparkSession) -> str:
         named = set_by_context.get() if set_by_context.isDefined() else None
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith(("local[", "local-cluster[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="ticketloom-shared-"))
         atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
