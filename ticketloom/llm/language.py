@@ -12,6 +12,7 @@ costs of the sentences it has seen, so that repeated ones are compressed once.
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -68,7 +69,7 @@ COMMON = {
 _ZERO = regex.compile("[​‌‍⁠﻿­]")
 _TAG = regex.compile(r"<(?:br|p|div|li|hr|h\d)\b[^<>]{0,80}>|</(?:p|div|li|h\d)>|&nbsp;|\\[nrt]", regex.IGNORECASE)
 #: Where a sentence may end; and what may stand around a word.
-_CUT = regex.compile(r"[.!?][\"')»”]*+\s+|\n|;\s|\s(?:[/|>=*#~–—-]{1,5}|!!+)\s+(?=\p{Lu})")
+_CUT = re.compile(r"[.!?][\"')»”]*+\s+|\n|;\s|\s(?:[/|>=*#~–—-]{1,5}|!!+)\s+(?=[A-ZÀ-ÖØ-Þ])")
 _AROUND = ".,:;!?()[]{}\"'„“”»«‹›‚‘’*|=>~#"
 
 

@@ -222,7 +222,9 @@ def is_copy(response: str, prompt: str) -> bool:
     theirs = "".join([_parts[t] for t in prompt.split()])
     asked = theirs.split()
     known = set(asked)
-    common = sum([w in known for w in mine])
+    common = sum(map(known.__contains__, mine))
+    if 2 * common < n - SHINGLE + 1 - (n - len(set(mine))) * SHINGLE:  # fewer shingles than this can't be, and each shared one begins at a common word
+        return False
     shingles = {" " + " ".join(mine[i : i + SHINGLE]) + " " for i in range(n - SHINGLE + 1)}
     if 2 * common < len(shingles):  # each shared shingle begins at a common word
         return False

@@ -6,7 +6,7 @@ sketch) two sets that reach the threshold share at least one word of their
 prefixes, at least two of prefixes longer by one, and so on; groups that are
 large under the first shared word are therefore split by the second and third
 shared word. Orders 2 and 3 are by two other hashes; the words of their
-prefixes are kept as 64 bits each, and where these don't meet, no word of the
+prefixes are kept as 32 bits each, and where these don't meet, no word of the
 prefixes is shared. Besides, 64-bit parities of the words in either half of
 the hash space bound the difference of two sets from below. A pair must pass
 all three orders, this bound, the size and the position filter before its
@@ -42,11 +42,11 @@ HOT_WORD = 1 << 17
 ORDERS = (-7046029254386353131, -4417276706812531889)
 BIT = 1609587929392839161
 
-#: g: the shared word; rep: smallest id of the set; n: words of the set; pos: words before g under order 1; room: words from g to the end of
-#: the prefix; p2, p3: bits of the prefixes under orders 2 and 3; o1, o2: parities; sfx: 32 bits of each word after g.
-EMITTED = "g bigint, rep bigint, n int, pos int, room int, p2 bigint, p3 bigint, o1 bigint, o2 bigint, role int, sfx binary"
+#: g: the shared word; h1, h2: the set; n: its words; pos: words before g under order 1; room: words from g to the end of the prefix;
+#: p2, p3: bits of the prefixes under orders 2 and 3; o1, o2: parities; sfx: 32 bits of each word after g.
+EMITTED = "g bigint, h1 bigint, h2 bigint, n int, pos int, room int, p2 int, p3 int, o1 bigint, o2 bigint, role int, sfx binary"
 COLUMNS = [c.split()[0] for c in EMITTED.split(", ")]
-PAIRS = "a bigint, b bigint, star int"
+PAIRS = "a1 bigint, a2 bigint, b1 bigint, b2 bigint, star int"
 
 
 def record_sets(df: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
@@ -93,12 +93,12 @@ def parities(flat: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def prefix_bits(flat: np.ndarray, row: np.ndarray, start: np.ndarray, prefix: np.ndarray, order: int) -> np.ndarray:
-    """Per list of hashes, 64 bits of the words in its prefix under an order by hash."""
+    """Per list of hashes, 32 bits of the words in its prefix under an order by hash."""
     with np.errstate(over="ignore"):
         by = np.lexsort((flat * np.int64(order), row))
-        bit = np.uint64(1) << ((flat[by] * np.int64(BIT)).view(np.uint64) >> np.uint64(58))
+        bit = np.uint32(1) << ((flat[by] * np.int64(BIT)).view(np.uint64) >> np.uint64(59)).astype(np.uint32)
     inside = np.arange(len(flat)) - start[row] < prefix[row]
-    return np.bitwise_or.reduceat(np.where(inside, bit, np.uint64(0)), start).view(np.int64)
+    return np.bitwise_or.reduceat(np.where(inside, bit, np.uint32(0)), start).view(np.int32)
 
 
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -156,7 +156,7 @@ def _emitter(sketch, t: float):
             words32 = flat[ragged(at + 1, left)] & 0xFFFFFFFF
             role = b.column("role").to_numpy()[r] if "role" in b.schema.names else np.zeros(len(r))
             ints = [pa.array(x.astype(np.int32)) for x in (n[r], own, prefix[r] - pos[at])]
-            out = [pa.array(key), b.column("rep").take(pa.array(r)), *ints, *[pa.array(x[r]) for x in bits], pa.array(role.astype(np.int32)), binary_column(words32, left)]
+            out = [pa.array(key), b.column("h1").take(pa.array(r)), b.column("h2").take(pa.array(r)), *ints, *[pa.array(x[r]) for x in bits], pa.array(role.astype(np.int32)), binary_column(words32, left)]
             yield pa.RecordBatch.from_arrays(out, names=COLUMNS)
 
     return emit
@@ -230,7 +230,7 @@ def _dense(x: Group, run: np.ndarray, t: float, only: bool) -> tuple[list[tuple[
         rest = run[x.role[run] == 3]
         star: list[tuple[np.ndarray, np.ndarray]] = []
     else:
-        one = run[np.argmin(x.rep[run])]
+        one = run[np.argmin(x.h1[run])]
         others = run[run != one]
         near = _pass(x, np.full(len(others), one), others, t)
         if near.sum() * 2 < len(others):
@@ -300,14 +300,15 @@ def _pairer(t: float, apart: bool, dense: bool):
         def solved(table: pa.Table) -> Iterator[pa.RecordBatch]:
             x = Group(table)
             i, j, star = group_pairs(x, t, apart, dense)
-            a, b = np.minimum(x.rep[i], x.rep[j]), np.maximum(x.rep[i], x.rep[j])
-            keep = a != b
-            a, b, star = a[keep], b[keep], star[keep]
+            first = (x.h1[i] < x.h1[j]) | ((x.h1[i] == x.h1[j]) & (x.h2[i] < x.h2[j]))
+            a, b = np.where(first, i, j), np.where(first, j, i)
+            other = (x.h1[a] != x.h1[b]) | (x.h2[a] != x.h2[b])
+            a, b, star = a[other], b[other], star[other]
             if len(a):
-                every, which = np.unique(np.stack([a, b]), axis=1, return_inverse=True)
+                every, which = np.unique(np.stack([x.h1[a], x.h2[a], x.h1[b], x.h2[b]]), axis=1, return_inverse=True)
                 stars = np.zeros(every.shape[1], np.int32)
                 np.maximum.at(stars, which.ravel(), star)
-                yield pa.RecordBatch.from_arrays([pa.array(every[0]), pa.array(every[1]), pa.array(stars)], names=["a", "b", "star"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, every), pa.array(stars)], names=["a1", "a2", "b1", "b2", "star"])
 
         for b in batches:
             held.append(b)
@@ -328,16 +329,19 @@ def _pairer(t: float, apart: bool, dense: bool):
 
 
 def candidates(emitted: DataFrame, t: float, apart: bool = False, dense: bool = False) -> DataFrame:
-    """(a, b, star): pairs of one group that pass all filters, once each; star: a link to one set of a dense group."""
+    """(a1, a2, b1, b2, star): pairs of one group that pass all filters, once each; star: a link to one set of a dense group."""
     pairs = emitted.repartition("g").sortWithinPartitions("g").mapInArrow(_pairer(t, apart, dense), PAIRS)
-    return pairs.groupBy("a", "b").agg(F.max("star").alias("star"))
+    return pairs.groupBy("a1", "a2", "b1", "b2").agg(F.max("star").alias("star"))
 
 
 def compared(pairs: DataFrame, sets: DataFrame, *keep: str) -> DataFrame:
-    """(a, b, star, both, n, and keep of either side): words that the sets of each pair share, and words of the two together."""
-    side = lambda x: sets.select(F.col("rep").alias(x), F.col("t").alias("t" + x), *[F.col(c).alias(f"{c}_{x}") for c in keep])
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("ta", "tb")))
-    return joined.select("a", "b", "star", "both", (F.size("ta") + F.size("tb") - F.col("both")).alias("n"), *[f"{c}_{x}" for c in keep for x in "ab"])
+    """(star, both, n, and keep of either side): words that the sets of each pair share, and words of the two together.
+
+    The sets are partitioned by their hashes as they come, so their words aren't shuffled again.
+    """
+    side = lambda x: sets.select(F.col("h1").alias(x + "1"), F.col("h2").alias(x + "2"), F.col("t").alias("t" + x), *[F.col(c).alias(f"{c}_{x}") for c in keep])
+    joined = pairs.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"]).withColumn("both", F.size(F.array_intersect("ta", "tb")))
+    return joined.select("star", "both", (F.size("ta") + F.size("tb") - F.col("both")).alias("n"), *[f"{c}_{x}" for c in keep for x in "ab"])
 
 
 def near(t: float):
@@ -354,13 +358,13 @@ def near_links(sets: DataFrame, t: float) -> DataFrame:
     """
     sketch = sets.sparkSession.sparkContext.broadcast(frequency_sketch(sets.select(F.explode("t").alias("w")), "w"))
     emit = lambda df: df.mapInArrow(_emitter(sketch, t), EMITTED)
-    first = written(compared(candidates(emit(sets.select("rep", "t")), t, dense=True), sets).select("a", "b", "star", near(t).alias("near")), "compared")
+    first = written(compared(candidates(emit(sets.select("h1", "h2", "t")), t, dense=True), sets, "rep").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "star", near(t).alias("near")), "compared")
     links = first.where("near").select("a", "b")
     failed = first.where("star = 1 and not near").select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     if failed.isEmpty():
         return links
-    marked = sets.join(failed.withColumn("role", F.lit(3)), "rep", "left").select("rep", "t", F.coalesce("role", F.lit(2)).alias("role"))
-    second = compared(candidates(emit(marked), t, apart=True, dense=True), sets).where(near(t)).select("a", "b")
+    marked = sets.join(failed.withColumn("role", F.lit(3)), "rep", "left").select("h1", "h2", "t", F.coalesce("role", F.lit(2)).alias("role"))
+    second = compared(candidates(emit(marked), t, apart=True, dense=True), sets, "rep").where(near(t)).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     return links.unionByName(written(second, "second")).distinct()
 
 
