@@ -51,6 +51,22 @@ def test_long_runs_without_a_safe_place():
     assert chunked(texts) == [plain(t) for t in texts]
 
 
+def test_time_grows_with_the_text():
+    import time
+
+    rng = random.Random(9)
+    cjk = "".join(rng.choice("日本語文字列処理能力向上計画") + ("。" if rng.random() < 0.05 else "") for _ in range(350_000))
+    cyrillic = " ".join("".join(rng.choice("абвгдежзик") for _ in range(rng.randint(2, 9))) for _ in range(80_000))
+    letters = "".join(rng.choice("日本語文字列処理") for _ in range(300_000))
+    plain("warm")
+    for text in (cjk, cyrillic, letters, cyrillic.replace(" ", "\u00a0"), cjk.replace("。", "'s ")):
+        began = time.process_time()
+        want = plain(text)
+        middle = time.process_time()
+        assert chunked([text]) == [want]
+        assert time.process_time() - middle <= 3 * (middle - began) + 0.5
+
+
 def test_encode_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "Hello world"), (4, "Hello world"), (None, "<|endoftext|>")]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, ids string")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketloom.llm.tokens import FOLDER, NAME, Encoder, encoded, encoder, slices, text_buffer
+from ticketloom.llm.tokens import FOLDER, NAME, Encoder, after_wide_blank, encoded, encoder, slices, text_buffer
 
 #: Kinds of boundary, best first; a hard cut is one between tokens of a stretch without any other.
 HARD, WORD, SENTENCE, LINE, TURN, PARAGRAPH = range(6)
@@ -34,8 +34,7 @@ def natural_boundaries(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     end = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
     end = np.append(end, len(data))[np.searchsorted(end, place, "right")]
     b1, b2, b3 = data[place - 1], data[np.maximum(place - 2, 0)], data[np.maximum(place - 3, 0)]
-    wide = ((b2 == 0xC2) & ((b1 == 0x85) | (b1 == 0xA0))) | ((b3 == 0xE2) & (b2 == 0x80) & ((b1 <= 0x8A) | (b1 == 0xA8) | (b1 == 0xA9) | (b1 == 0xAF)))
-    wide |= ((b3 == 0xE1) & (b2 == 0x9A) & (b1 == 0x80)) | ((b3 == 0xE2) & (b2 == 0x81) & (b1 == 0x9F)) | ((b3 == 0xE3) & (b2 == 0x80) & (b1 == 0x80))
+    wide = after_wide_blank(data, place)
     feed = (data == 10) | ((data == 13) & (np.append(data[1:], 0) != 10))
     lines = np.concatenate([[0], np.cumsum(feed)])
     lines = lines[end] - lines[place]

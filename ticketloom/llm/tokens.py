@@ -3,13 +3,15 @@
 A text is cut at safe places where a rolling hash of the bytes before has a chosen
 residue, so equal passages of different documents give equal chunks. Each
 Python worker encodes a chunk once and keeps its ids (in a cache of bounded
-size). A cut lies between a visible ASCII character and a single space before
-another visible ASCII character, or between an ASCII letter and a digit, where
-the tokenizer always ends a piece; there the chunks' ids can be joined as they
-are. Stretches without such a place are
-cut by the rolling hash alone, and those joins are repaired: pieces around the
-join are encoded again until their boundaries agree with those of the chunk
-that follows. The result equals encoding the whole text, without a shuffle.
+size). A safe place lies between a character that is no white space and ASCII
+white space, or between an ASCII letter and a digit: there the tokenizer
+always ends a piece, and the chunks' ids can be joined as they are. Long
+stretches without such a place are cut by the rolling hash where a letter
+stands beside another character, and those joins are repaired: pieces around
+the join are encoded again until their boundaries agree with those of the
+chunk that follows. Only the last pieces before a join are kept for that, so
+the time is in proportion to the text. The result equals encoding the whole
+text, without a shuffle.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 EVERY = 16
 #: A chunk without a safe place is cut anyway beyond this many bytes.
 LONGEST = 8192
+#: Bytes between two such cuts at least.
+APART = 2048
 #: Chunks that a worker keeps, in each of two generations.
 KEPT = 150_000
 
@@ -91,6 +95,16 @@ class Encoder:
         head = sum(len(self._encode(piece)) for at, piece in own.items() if at < meet)
         return ids_a[: len(ids_a) - 4 * tail] + np.array(again, np.int32).tobytes() + ids_b[4 * head :]
 
+    def settled(self, text: bytes, ids: bytes) -> tuple[bytes, bytes, bytes]:
+        """The ids that no text to come can change; and the last three pieces of text with their ids."""
+        whole = text.decode("utf-8", "replace")
+        starts = [m.start() for m in _PIECES.finditer(whole)]
+        if len(starts) <= 3:
+            return b"", text, ids
+        last = whole[starts[-3] :]
+        n = len(ids) - 4 * len(self._encode(last))
+        return ids[:n], last.encode(), ids[n:]
+
     def document(self, data: bytes, cuts: list[int], safe: list[bool]) -> bytes:
         """The ids of data, cut before each of cuts; safe: which joins need no repair."""
         if not cuts:
@@ -107,7 +121,8 @@ class Encoder:
                 out.append(ids)
                 held_text = held = b""
             else:
-                held_text, held = piece, ids
+                done, held_text, held = self.settled(piece, ids)
+                out.append(done)
             begin = cut
         return b"".join(out)
 
@@ -128,31 +143,44 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]  # a slice shares the buffer of its batch
 
 
+def after_wide_blank(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character before each place is white space of two or three bytes."""
+    b1, b2, b3 = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
+    wide = ((b2 == 0xC2) & ((b1 == 0x85) | (b1 == 0xA0))) | ((b3 == 0xE2) & (b2 == 0x80) & ((b1 <= 0x8A) | (b1 == 0xA8) | (b1 == 0xA9) | (b1 == 0xAF)))
+    return wide | ((b3 == 0xE1) & (b2 == 0x9A) & (b1 == 0x80)) | ((b3 == 0xE2) & (b2 == 0x81) & (b1 == 0x9F)) | ((b3 == 0xE3) & (b2 == 0x80) & (b1 == 0x80))
+
+
 def cut_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places before which to cut, in order, and whether each is safe."""
     if len(data) < 3:
         return np.zeros(0, np.int64), np.zeros(0, bool)
-    visible = (data > 32) & (data < 127)
+    blank = (data == 32) | ((data >= 9) & (data <= 13)) | ((data >= 28) & (data <= 31))
     digit = (data >= 48) & (data < 58)
     letter = ((data | 32) >= 97) & ((data | 32) < 123)
-    at = np.flatnonzero(((data[1:-1] == 32) & visible[:-2] & visible[2:]) | (digit[1:-1] & letter[:-2]) | (letter[1:-1] & digit[:-2])) + 1
+    at = np.flatnonzero((blank[1:] & ~blank[:-1]) | (digit[1:] & letter[:-1]) | (letter[1:] & digit[:-1])) + 1
+    at = at[~after_wide_blank(data, at)]
     h = np.zeros(len(at), np.uint32)
     for k in range(1, 7):  # the rolling hash over six bytes before the place
         h = h * np.uint32(2654435761) + data[np.maximum(at - k, 0)]
     h ^= h >> np.uint32(15)
     picked = at[(h * np.uint32(2246822519) >> np.uint32(16)) % EVERY == 0]
-    #: What is still longer than LONGEST is cut by a hash of the bytes alone, at the beginning of a character.
+    #: What is still longer than LONGEST is cut by a hash of the bytes where a letter stands beside another character.
     edges = np.unique(np.concatenate([offsets, picked]))
     forced = []
     for i in np.flatnonzero(np.diff(edges) > LONGEST):
         lo, hi = int(edges[i]), int(edges[i + 1])
+        text = data[lo:hi].tobytes().decode("utf-8", "replace")
+        points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+        begin = np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))[:-1]
+        alpha = np.fromiter(map(str.isalpha, text), bool, len(text))
+        place = begin[alpha[1:] != alpha[:-1]]
+        place = place[place >= 4]
         own = data[lo:hi].astype(np.uint32)
-        g = own[3:] * np.uint32(40503) + own[2:-1] * np.uint32(30011) + own[1:-2] * np.uint32(7919) + own[:-3] * np.uint32(104729)
-        place = np.flatnonzero(((g * np.uint32(2654435761)) >> np.uint32(22)) == 0) + 3
-        place = place[(own[place] & 0xC0) != 0x80]
+        g = own[place - 1] * np.uint32(40503) + own[place - 2] * np.uint32(30011) + own[place - 3] * np.uint32(7919) + own[place - 4] * np.uint32(104729)
+        place = place[(g * np.uint32(2654435761) >> np.uint32(16)) % EVERY == 0]
         last, kept = 0, []
         for p in place.tolist():
-            if p - last >= 256:
+            if p - last >= APART:
                 kept.append(p)
                 last = p
         forced.append(np.array(kept, np.int64) + lo)
