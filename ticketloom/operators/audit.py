@@ -58,7 +58,7 @@ def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def content_hash(df: DataFrame, columns: list[str]) -> DataFrame:
     """(rows, digest): an order-free digest of the rows' values: the sums of 32-bit parts of each row's sha256; nulls differ from blanks."""
-    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x01")) for c in columns])
     h = F.sha2(text, 256)
     part = lambda i: F.sum(F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)"))
     row = df.agg(F.count("*").alias("rows"), *[part(i).alias(f"p{i}") for i in range(4)])

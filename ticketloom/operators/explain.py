@@ -13,19 +13,29 @@ from ticketloom.functions.rng import hash_u
 from ticketloom.functions.stats import spearman
 
 
-def linear_attributions(values: DataFrame, weights: DataFrame, background: DataFrame) -> DataFrame:
+def linear_attributions(values: DataFrame, weights: DataFrame, background: DataFrame, ids: DataFrame | None = None, absent: bool = True) -> DataFrame:
     """(id, label, feature, phi): weight times (value less the background's mean), for features where that is not 0.
 
-    A feature that a case lacks contributes through the background's mean; so
-    each case is completed with the background's features.
+    A feature that a case lacks contributes through the background's mean, so
+    each case of a bounded selection is completed with the background's
+    features. With absent False these are summed: a feature <absent> has the
+    label's constant over all background features less the case's own part of
+    it, one join whatever the number of cases. ids, a column id: the cases,
+    those without any feature too; else the ids of values.
     """
     rows = background.select("id").distinct().count()
     mean = background.groupBy("feature").agg((F.sum("value") / max(1, rows)).alias("mean"))
-    cases = values.select("id").distinct()
-    grid = cases.crossJoin(mean.select("feature")).unionByName(values.select("id", "feature")).distinct()
-    full = grid.join(values, ["id", "feature"], "left").join(mean, "feature", "left")
-    shift = full.select("id", "feature", (F.coalesce("value", F.lit(0.0)) - F.coalesce("mean", F.lit(0.0))).alias("d")).where("d <> 0")
-    return shift.join(weights, "feature").select("id", "label", "feature", (F.col("d") * F.col("weight")).alias("phi"))
+    cases = (values if ids is None else ids).select("id").distinct()
+    if absent:
+        grid = cases.crossJoin(F.broadcast(mean.select("feature"))).unionByName(values.select("id", "feature")).distinct()
+        full = grid.join(values, ["id", "feature"], "left").join(mean, "feature", "left")
+        shift = full.select("id", "feature", (F.coalesce("value", F.lit(0.0)) - F.coalesce("mean", F.lit(0.0))).alias("d")).where("d <> 0")
+        return shift.join(weights, "feature").select("id", "label", "feature", (F.col("d") * F.col("weight")).alias("phi"))
+    lost = mean.join(weights, "feature").groupBy("label").agg((-F.sum(F.col("mean") * F.col("weight"))).alias("all"))  # a row per label
+    present = values.join(cases, "id", "left_semi").join(mean, "feature", "left").join(weights, "feature").withColumn("mean", F.coalesce("mean", F.lit(0.0)))
+    own = present.groupBy("id", "label").agg(F.sum(F.col("mean") * F.col("weight")).alias("own"))
+    rest = cases.crossJoin(F.broadcast(lost)).join(own, ["id", "label"], "left").select("id", "label", F.lit("<absent>").alias("feature"), (F.col("all") + F.coalesce("own", F.lit(0.0))).alias("phi"))
+    return present.select("id", "label", "feature", ((F.col("value") - F.col("mean")) * F.col("weight")).alias("phi")).unionByName(rest).where("phi <> 0")
 
 
 def expected_scores(background: DataFrame, weights: DataFrame) -> DataFrame:
@@ -93,6 +103,85 @@ def faithfulness(values: DataFrame, phi: DataFrame, weights: DataFrame, k: int,
     return ranked.groupBy("id", "label").agg(lost("t").alias("drop_top"), lost("u").alias("drop_random"))
 
 
+def faithfulness_study(values: DataFrame, phi: DataFrame, weights: DataFrame, predicted: DataFrame, ks: list[int], repeats: int, seed: str | int) -> DataFrame:
+    """(id, k, removed, drop_top, flip_top, drop_random, flip_random, advantage, stronger) per case and k, for a linear score.
+
+    The k strongest active features of the predicted label are set to 0, and,
+    repeats times, as many random ones by hash; drop is the loss of that
+    label's score, flip whether another label then has the highest (the
+    smaller on ties); those of the random sets are means. predicted: id, pred.
+    """
+    own = phi.join(predicted, (phi["id"] == predicted["id"]) & (phi["label"] == predicted["pred"])).select(phi["id"], "feature", "phi")
+    active = own.join(values.select("id", "feature", "value"), ["id", "feature"])
+    case = Window.partitionBy("id")
+    place = {"top": F.row_number().over(case.orderBy(F.desc(F.round(F.abs("phi"), 9)), "feature"))}
+    place |= {f"r{i}": F.row_number().over(case.orderBy(hash_u(F.concat_ws("|", F.col("id").cast("string"), "feature"), f"{seed}-{i}"), "feature")) for i in range(repeats)}
+    ranked = active.withColumns({f"_{n}": c for n, c in place.items()}).join(weights, "feature").select("id", "label", (F.col("value") * F.col("weight")).alias("part"), *[f"_{n}" for n in place])
+    cuts = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("set"), F.col(f"_{n}").alias("place")) for k in ks for n in place])).alias("c")
+    lost = ranked.select("id", "label", "part", cuts).groupBy("id", "label", "c.k", "c.set").agg(F.sum("part").alias("score"), F.sum(F.when(F.col("c.place") <= F.col("c.k"), F.col("part")).otherwise(0.0)).alias("lost"), F.sum((F.col("c.place") <= F.col("c.k")).cast("int")).alias("removed"))
+    after = lost.join(predicted, "id").groupBy("id", "k", "set").agg(
+        F.sum(F.when(F.col("label") == F.col("pred"), F.col("lost"))).alias("drop"), F.first("removed").alias("removed"),
+        F.min(F.struct((-F.round(F.col("score") - F.col("lost"), 9)).alias("s"), "label"))["label"].alias("now"), F.first("pred").alias("pred"))
+    flip = (F.col("now") != F.col("pred")).cast("double")
+    top, random = F.col("set") == "top", F.col("set") != "top"
+    out = after.groupBy("id", "k").agg(F.max("removed").cast("int").alias("removed"), F.sum(F.when(top, F.col("drop"))).alias("drop_top"), F.sum(F.when(top, flip)).alias("flip_top"), F.avg(F.when(random, F.col("drop"))).alias("drop_random"), F.avg(F.when(random, flip)).alias("flip_random"))
+    return out.withColumn("advantage", F.col("drop_top") - F.col("drop_random")).withColumn("stronger", F.round("advantage", 9) > 0)
+
+
+COMPACT = ("mass", "nonzero", "top_5_share", "top_10_share", "top_20_share", "k_50", "k_80", "k_90", "entropy")
+
+
+def compactness_summary(metrics: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, metric, mean, median, std) of the nine metrics of compactness over cases; std with n - 1."""
+    long = metrics.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in COMPACT])).alias("m")).select(*keys, "m.*")
+    return long.groupBy(*keys, "metric").agg(F.avg("v").alias("mean"), F.expr("percentile(v, 0.5)").alias("median"), F.stddev_samp("v").alias("std"))
+
+
+#: Metrics on which two explanations are compared, and whether more of it speaks for the second one.
+SENSITIVITY = (("top_10_share", False), ("top_5_share", False), ("top_20_share", False), ("k_80", True), ("entropy", True))
+
+
+def compactness_contrast(a: DataFrame, b: DataFrame, strata: DataFrame, draws: int, seed: str | int) -> DataFrame:
+    """(metric, observed, low, high, p) of the mean paired difference in compactness of explanation a over b, positive where a is more compact.
+
+    Cases of both are paired by id; strata: id, stratum. Each draw resamples
+    the cases within their strata, the same ones for every metric; p is that
+    of centred draws, one-sided.
+    """
+    from ticketloom.operators.evaluate import centred_p
+    from ticketloom.operators.sampling import hash_bootstrap
+
+    side = lambda x, n: x.select("id", *[F.col(m).cast("double").alias(f"{n}_{m}") for m, _ in SENSITIVITY])
+    wide = side(a, "a").join(side(b, "b"), "id").join(strata, "id")
+    wide = wide.select("id", "stratum", *[((F.col(f"b_{m}") - F.col(f"a_{m}")) if flip else (F.col(f"a_{m}") - F.col(f"b_{m}"))).alias(m) for m, flip in SENSITIVITY])
+    placed = wide.withColumn("i", (F.row_number().over(Window.partitionBy("stratum").orderBy("id")) - 1).cast("bigint"))
+    sizes = placed.groupBy("stratum").agg(F.count("*").alias("n"))
+    out = None
+    for m, _ in SENSITIVITY:
+        seen = wide.agg(F.avg(m).alias("observed")).select(F.lit(m).alias("metric"), "observed")
+        drawn = hash_bootstrap(placed, "i", m, draws, seed, ["stratum"]).join(F.broadcast(sizes), "stratum").groupBy("iteration").agg((F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("d")).select(F.lit(m).alias("metric"), "d")
+        row = seen.join(drawn.groupBy("metric").agg(F.expr("percentile(d, 0.025)").alias("low"), F.expr("percentile(d, 0.975)").alias("high")), "metric").join(centred_p(drawn, seen, ["metric"], "d", "observed"), "metric")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def compare_case_metrics(a: DataFrame, b: DataFrame, metrics: tuple[str, ...] = ("top_10_share", "k_80", "entropy")) -> DataFrame:
+    """(metric, first, second, difference): means over the cases of two explanations' compactness, and of the absolute difference per case."""
+    x, y = (compactness(e, None, ("id", "label")).select("id", "label", *[F.col(m).cast("double").alias(f"{n}_{m}") for m in metrics]) for e, n in ((a, "a"), (b, "b")))
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"a_{m}").alias("x"), F.col(f"b_{m}").alias("y")) for m in metrics])).alias("m")
+    return x.join(y, ["id", "label"]).select(pairs).groupBy("m.metric").agg(F.avg("m.x").alias("first"), F.avg("m.y").alias("second"), F.avg(F.abs(F.col("m.x") - F.col("m.y"))).alias("difference"))
+
+
+def assessment_template(local: DataFrame, predicted: DataFrame, k: int = 3) -> DataFrame:
+    """(id, pred, positive, negative, plausibility, comment): what a reviewer fills in, with the k strongest features for and against the predicted label."""
+    from ticketloom.operators.shaping import first_joined
+
+    own = local.join(predicted, "id").where("label = pred")
+    parts = [first_joined(own.where(F.col("direction") == d), ["id"], [F.col("rank")], "feature", k, d) for d in ("positive", "negative")]
+    empty = F.lit(None).cast("string")
+    return predicted.join(parts[0], "id", "left").join(parts[1], "id", "left").select("id", "pred", "positive", "negative", empty.alias("plausibility"), empty.alias("comment"))
+
+
 def compare_attributions(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, spearman, n) of the absolute attributions of two explanations, over the features that both have for a case and label."""
     on = [*dict.fromkeys(["id", *keys]), "label", "feature"] if "label" not in keys else [*dict.fromkeys(["id", *keys]), "feature"]

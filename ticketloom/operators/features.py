@@ -118,14 +118,25 @@ def select_percentile(scores: DataFrame, percent: float) -> DataFrame:
     return select_k(scores, -(-int(scores.count() * percent) // 100))
 
 
-def to_vectors(values: DataFrame, vocab: DataFrame) -> tuple[DataFrame, list[str]]:
-    """(id, features) as sparse vectors over the vocabulary in the order of its names, for estimators; a vocabulary fits the driver."""
+#: Features that a vector may have: the driver holds their names and every task their places.
+WIDEST = 1 << 20
+
+
+def to_vectors(values: DataFrame, vocab: DataFrame, ids: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """(id, features) as sparse vectors over the vocabulary in the order of its names, for estimators; ValueError beyond WIDEST features.
+
+    With ids, a column id, each of them has a vector, one of zeros without a known feature.
+    """
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    names = [r["feature"] for r in vocab.select("feature").orderBy("feature").collect()]
+    names = [r["feature"] for r in vocab.select("feature").orderBy("feature").limit(WIDEST + 1).collect()]
+    if len(names) > WIDEST:
+        raise ValueError(f"more than {WIDEST} features")
     spark = values.sparkSession
     index = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "feature string, i int")
     size = len(names)
-    make = F.udf(lambda pairs: SparseVector(size, [(p["i"], p["value"]) for p in pairs]), VectorUDT())
+    make = F.udf(lambda pairs: SparseVector(size, [(p["i"], p["value"]) for p in pairs or []]), VectorUDT())
     packed = values.join(F.broadcast(index), "feature").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("pairs"))
+    if ids is not None:
+        packed = ids.where("id is not null").select("id").distinct().join(packed, "id", "left")
     return packed.select("id", make("pairs").alias("features")), names

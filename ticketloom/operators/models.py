@@ -27,6 +27,15 @@ def complement_nb_weights(values: DataFrame, labels: DataFrame, id_col: str, lab
     return grid.join(F.broadcast(mass), "label").select("feature", "label", (-F.log(F.col("c") / F.col("mass"))).alias("weight"))
 
 
+def multinomial_nb_weights(values: DataFrame, labels: DataFrame, id_col: str, label: str, alpha: float = 1.0) -> DataFrame:
+    """(feature, label, weight): the log share of each feature in the class' own mass."""
+    y = labels.where(F.col(label).isNotNull()).select(F.col(id_col).alias("id"), F.col(label).alias("label"))
+    own = values.join(y, "id").groupBy("feature", "label").agg(F.sum("value").alias("own"))
+    grid = own.select("feature").distinct().crossJoin(F.broadcast(y.select("label").distinct())).join(own, ["feature", "label"], "left").select("feature", "label", (F.coalesce("own", F.lit(0.0)) + alpha).alias("c"))
+    mass = grid.groupBy("label").agg(F.sum("c").alias("mass"))
+    return grid.join(F.broadcast(mass), "label").select("feature", "label", F.log(F.col("c") / F.col("mass")).alias("weight"))
+
+
 def linear_scores(values: DataFrame, weights: DataFrame, intercepts: DataFrame | None = None, ids: DataFrame | None = None) -> DataFrame:
     """(id, label, score): sum of weight times value over known features, plus the label's intercept.
 
@@ -50,6 +59,8 @@ def best_label(scores: DataFrame, digits: int = 9) -> DataFrame:
 def neighbour_votes(queries: DataFrame, train: DataFrame, labels: DataFrame, id_col: str, label: str, k: int = 5, by_distance: bool = False) -> DataFrame:
     """(id, label, score): votes of the k most similar training rows, rows being unit vectors in long form; ties by the smaller id.
 
+    A query that shares no feature with any row has no vote; see with_default().
+
     The similarities are sums over shared features, combined before the
     shuffle; at a distance of 0 a neighbour outweighs all others.
     """
@@ -62,6 +73,12 @@ def neighbour_votes(queries: DataFrame, train: DataFrame, labels: DataFrame, id_
     return top.join(y, "t").groupBy(F.col("q").alias("id"), "label").agg(F.sum(vote).alias("score"))
 
 
+def with_default(best: DataFrame, ids: DataFrame, default: DataFrame) -> DataFrame:
+    """(id, label, score) of best, and for every other id the label of the one row of default with the score 0."""
+    rest = ids.select("id").distinct().join(best.select("id"), "id", "left_anti").crossJoin(F.broadcast(default.select(F.col(default.columns[0]).alias("label")).limit(1)))
+    return best.select("id", "label", "score").unionByName(rest.select("id", "label", F.lit(0.0).alias("score")))
+
+
 def estimator(kind: str, **params):
     """A Spark ML estimator over features and label columns: logistic, svm, tree, forest, boosted or naive_bayes."""
     from pyspark.ml import classification as C
@@ -77,18 +94,21 @@ def estimator(kind: str, **params):
     return make[kind](dict(params))
 
 
-def fit_predict(kind: str, train: DataFrame, test: DataFrame, vocab: DataFrame, labels: DataFrame, id_col: str, label: str, classes: list[str], **params) -> DataFrame:
-    """(id, pred): an estimator fitted on train's long-form features and applied to test's; labels are the index in classes."""
+def fit_predict(kind: str, train: DataFrame, test: DataFrame, vocab: DataFrame, labels: DataFrame, id_col: str, label: str, classes: list[str], ids: DataFrame | None = None, asked_ids: DataFrame | None = None, **params) -> DataFrame:
+    """(id, pred): an estimator fitted on train's long-form features and applied to test's; labels are the index in classes.
+
+    ids and asked_ids name the rows of either part, so that rows without a known feature are fitted and predicted too.
+    """
     y = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1
     truth = labels.where(F.col(label).isin(*classes)).select(F.col(id_col).alias("id"), y.cast("double").alias("label"))
-    known, _ = to_vectors(train, vocab)
-    asked, _ = to_vectors(test, vocab)
+    known, _ = to_vectors(train, vocab, ids)
+    asked, _ = to_vectors(test, vocab, asked_ids)
     model = estimator(kind, **params).fit(known.join(truth, "id").select("features", "label"))
     names = F.array(*[F.lit(c) for c in classes])
     return model.transform(asked).select("id", F.element_at(names, F.col("prediction").cast("int") + 1).alias("pred"))
 
 
-def adaboost(train: DataFrame, test: DataFrame, vocab: DataFrame, labels: DataFrame, id_col: str, label: str, classes: list[str], rounds: int = 5, depth: int = 2, seed: int = 42) -> DataFrame:
+def adaboost(train: DataFrame, test: DataFrame, vocab: DataFrame, labels: DataFrame, id_col: str, label: str, classes: list[str], ids: DataFrame | None = None, asked_ids: DataFrame | None = None, rounds: int = 5, depth: int = 2, seed: int = 42) -> DataFrame:
     """(id, pred): multi-class boosting (SAMME) of weighted trees; ends early when a tree is no better than chance."""
     import math
 
@@ -98,8 +118,8 @@ def adaboost(train: DataFrame, test: DataFrame, vocab: DataFrame, labels: DataFr
 
     y = (F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1).cast("double")
     truth = labels.where(F.col(label).isin(*classes)).select(F.col(id_col).alias("id"), y.alias("label"))
-    data = written(to_vectors(train, vocab)[0].join(truth, "id").withColumn("weight", F.lit(1.0)), "boost")
-    asked = to_vectors(test, vocab)[0]
+    data = written(to_vectors(train, vocab, ids)[0].join(truth, "id").withColumn("weight", F.lit(1.0)), "boost")
+    asked = to_vectors(test, vocab, asked_ids)[0]
     votes = [F.lit(0.0) for _ in classes]
     for i in range(rounds):
         model = DecisionTreeClassifier(maxDepth=depth, weightCol="weight", seed=seed).fit(data)
@@ -117,26 +137,6 @@ def adaboost(train: DataFrame, test: DataFrame, vocab: DataFrame, labels: DataFr
     return asked.select("id", F.element_at(names, F.array_position(top, F.array_max(top)).cast("int")).alias("pred"))
 
 
-def out_of_fold(data: DataFrame, fold: str, folds: int, run: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """(id, pred, fold): run(train, test) for each fold in turn; everything fitted sees the training rows only."""
-    out = None
-    for k in range(folds):
-        part = run(data.where(F.col(fold) != k), data.where(F.col(fold) == k)).withColumn("fold", F.lit(k))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def grid_search(grid: list[dict], folds: int, score: Callable[[dict, int], float]) -> list[dict]:
-    """Candidates with mean and population standard deviation of their fold scores, best first; ties go to the earlier candidate."""
-    import statistics
-
-    rows = []
-    for i, params in enumerate(grid):
-        got = [score(params, k) for k in range(folds)]
-        rows.append({"candidate": i, "params": params, "mean": statistics.fmean(got), "std": statistics.pstdev(got)})
-    return sorted(rows, key=lambda r: (-r["mean"], r["candidate"]))
-
-
 def at_edge(grid: dict[str, list], best: dict) -> dict[str, bool]:
     """Which chosen numeric parameters lie at an end of what was searched."""
     return {k: len(v) > 1 and best[k] in (min(v), max(v)) for k, v in grid.items() if all(isinstance(x, (int, float)) for x in v)}

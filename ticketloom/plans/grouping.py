@@ -151,8 +151,8 @@ SELECT record_id, priority, 'reference' AS origin FROM ref UNION ALL SELECT reco
     "split_leakage": "SELECT g, count(DISTINCT split) AS parts FROM (SELECT nullif(regexp_extract(lower(text_group_id), '([0-9a-f]{40})', 1), '') AS g, split FROM split_assignments) WHERE g IS NOT NULL GROUP BY g HAVING count(DISTINCT split) > 1",
     "design_summary": "SELECT split, count(*) AS records, count(DISTINCT semantic_group_id) AS groups, " + ", ".join(f"count(*) FILTER (priority = '{p}') AS {p}" for p in ("low", "medium", "high")) + " FROM (SELECT DISTINCT * EXCLUDE (priority), lower(nullif(trim(regexp_replace(priority, '[\\s\\x{00a0}]+', ' ', 'g')), '')) AS priority FROM split_assignments) GROUP BY split",
     "stratified_bootstrap_means": f"""
-WITH d AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY user_id) - 1 AS i, x FROM (SELECT event_type, user_id, round(avg(value), 6) AS x FROM events GROUP BY 1, 2) QUALIFY i < 200),
+WITH d AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY user_id) - 1 AS i, x FROM (SELECT event_type, user_id, round(avg(value), 6) AS x FROM events GROUP BY 1, 2)),
 n AS (SELECT event_type, count(*) AS n FROM d GROUP BY 1),
-s AS (SELECT event_type, it AS iteration, {sql_hash_u("event_type || '-' || it || '-' || j", 'boot')} % n AS i FROM n, range(20) a(it), range(1000) b(j) WHERE j < n)
+s AS (SELECT event_type, it AS iteration, {sql_hash_u("event_type || '-' || it || '-' || j", 'boot')} % n AS i FROM (SELECT *, unnest(range(n)) AS j FROM (SELECT *, unnest(range(20)) AS it FROM n)))
 SELECT iteration, event_type, round(avg(x), 6) AS mean FROM s JOIN d USING (event_type, i) GROUP BY 1, 2""",
 }

@@ -20,8 +20,12 @@ from ticketloom.session import written
 CLASSES = ["high", "low", "medium"]
 MODELS = ["alpha", "beta", "gamma"]
 RIGHT = {"alpha": 70, "beta": 62, "gamma": 66}
-TERMS = 800
-CHARS = 300
+#: Most frequent words and character n-grams that a vocabulary keeps.
+TERMS = 30_000
+CHARS = 30_000
+#: Explained cases and background rows per class, as sampled from one record per group.
+CASES = 50
+BACKGROUND = 10
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -95,7 +99,8 @@ def knn_votes(spark, sf):
     """Queries: records whose id is divisible by 50, against all others."""
     d = _base(spark, sf)
     v = written(_vectors(d), "vectors")
-    return _r(M.best_label(M.neighbour_votes(v.where("id % 50 = 0"), v, d, "record_id", "priority")), "score")
+    best = M.best_label(M.neighbour_votes(v.where("id % 50 = 0"), v, d, "record_id", "priority"))
+    return _r(M.with_default(best, d.where("record_id % 50 = 0").select(F.col("record_id").alias("id")), M.majority(d, "priority")), "score")
 
 
 def _preds(spark, sf):
@@ -181,61 +186,114 @@ def holm_adjustment(spark, sf):
     return _r(holm(out, "p", ["variable"], ["language"]), "p", "p_holm")
 
 
+def _case_ids(d, per_class=CASES, seed="cases"):
+    """Held-out records to explain: one per group, sampled per class."""
+    held = S.group_representatives(d.where("split <> 'training'"), "g", "record_id")
+    return S.stratified_sample(held, "record_id", [F.col("priority")], per_class, seed).select(F.col("record_id").alias("id"), F.col("priority").alias("stratum"))
+
+
 def _attributed(spark, sf):
+    """All words' values, the weights of complement naive Bayes, the values of the background and of the cases, and the cases."""
     d = _base(spark, sf)
-    values, w = _nb(d)
-    top = written(V.select_k(V.chi2_scores(values, d, "record_id", "priority"), 40).select("feature"), "top")
-    w = written(w.join(top, "feature"), "weights")
-    v = written(_words(d).join(top, "feature"), "values")
-    back = S.stratified_sample(d.where("split = 'training'"), "record_id", [F.col("priority")], 10, "background").select(F.col("record_id").alias("id"))
+    w = written(_nb(d)[1], "weights")
+    v = written(_words(d).join(w.select("feature").distinct(), "feature"), "values")
+    back = S.stratified_sample(d.where("split = 'training'"), "record_id", [F.col("priority")], BACKGROUND, "background").select(F.col("record_id").alias("id"))
     bg = written(v.join(F.broadcast(back), "id", "left_semi"), "background")
-    cases = v.join(d.where("record_id % 50 = 0").select(F.col("record_id").alias("id")), "id", "left_semi")
-    return v, w, bg, cases
+    ids = written(_case_ids(d), "cases")
+    return v, w, bg, v.join(F.broadcast(ids.select("id")), "id", "left_semi"), ids
+
+
+def _phi(spark, sf):
+    v, w, bg, cases, ids = _attributed(spark, sf)
+    return v, w, cases, ids, written(X.linear_attributions(cases, w, bg, ids), "phi")
+
+
+def _predicted(cases, w, ids):
+    return M.best_label(M.linear_scores(cases, w, ids=ids), 6).select("id", F.col("label").alias("pred"))
 
 
 def linear_attribution(spark, sf):
-    """Cases: records whose id is divisible by 50."""
-    _, w, bg, cases = _attributed(spark, sf)
-    return _r(X.linear_attributions(cases, w, bg), "phi")
+    """Cases: one held-out record of a group, a sample per class."""
+    return _r(_phi(spark, sf)[-1], "phi")
 
 
 def attribution_additivity(spark, sf):
-    _, w, bg, cases = _attributed(spark, sf)
-    phi = X.linear_attributions(cases, w, bg)
-    return X.additivity_error(phi, X.expected_scores(bg, w), M.linear_scores(cases, w)).select((F.col("max_error") < 1e-6).alias("additive"))
+    """Base and attributions against the score of every held-out record, the features that it lacks being one sum."""
+    d = _base(spark, sf)
+    v, w, bg, *_ = _attributed(spark, sf)
+    ids = d.where("split <> 'training'").select(F.col("record_id").alias("id"))
+    held = v.join(ids, "id", "left_semi")
+    phi = written(X.linear_attributions(held, w, bg, ids, absent=False), "phi")
+    scores = written(M.linear_scores(held, w, ids=ids), "scores")
+    base = X.expected_scores(bg, w)
+    total = phi.groupBy("id", "label").agg(F.sum("phi").alias("phi"))
+    rebuilt = scores.join(F.broadcast(base), "label").join(total, ["id", "label"], "left").select("id", "label", (F.col("base") + F.coalesce("phi", F.lit(0.0))).alias("score"))
+    same = M.best_label(scores, 6).alias("a").join(M.best_label(rebuilt, 6).alias("b"), "id").select((F.col("a.label") == F.col("b.label")).alias("same"), F.round("a.score", 5).alias("score"))
+    return X.additivity_error(phi, base, scores).select((F.col("max_error") < 1e-6).alias("additive")).crossJoin(same.agg(F.count("*").alias("records"), F.count_if("same").alias("rebuilt"), F.round(F.sum("score"), 3).alias("score")))
 
 
 def attribution_compactness(spark, sf):
-    _, w, bg, cases = _attributed(spark, sf)
-    out = X.compactness(_r(X.linear_attributions(cases, w, bg), "phi", digits=9), None, ("id", "label"))
+    out = X.compactness(_r(_phi(spark, sf)[-1], "phi", digits=9), None, ("id", "label"))
     return _r(out, "mass", "top_5_share", "top_10_share", "top_20_share", "entropy")
 
 
+def compactness_summary(spark, sf):
+    """Over all features of the background and over those that the case has."""
+    *_, cases, ids, phi = _phi(spark, sf)
+    phi = _r(phi, "phi", digits=9)
+    active = phi.join(cases.select("id", "feature"), ["id", "feature"], "left_semi")
+    scopes = [X.compactness(p, None, ("id", "label")).withColumn("scope", F.lit(n)) for n, p in (("full", phi), ("active", active))]
+    return _r(X.compactness_summary(scopes[0].unionByName(scopes[1]), ["label", "scope"]), "mean", "median", "std")
+
+
 def attribution_top(spark, sf):
-    _, w, bg, cases = _attributed(spark, sf)
-    return _r(X.top_features(X.linear_attributions(cases, w, bg), 15), "mean_abs")
+    return _r(X.top_features(_phi(spark, sf)[-1], 50), "mean_abs")
 
 
 def attribution_groups(spark, sf):
-    _, w, bg, cases = _attributed(spark, sf)
-    phi = X.linear_attributions(cases, w, bg).withColumn("feature", F.concat(F.when(F.col("feature").rlike("[0-9]"), "number:").otherwise("word:"), "feature"))
+    phi = _phi(spark, sf)[-1].withColumn("feature", F.concat(F.when(F.col("feature").rlike("[0-9]"), "number:").otherwise("word:"), "feature"))
     return _r(X.group_shares(phi, ("label",)), "share")
 
 
 def local_contributions(spark, sf):
-    _, w, bg, cases = _attributed(spark, sf)
-    return _r(X.local_contributions(X.linear_attributions(cases, w, bg), cases, 3), "phi")
+    *_, cases, _, phi = _phi(spark, sf)
+    return _r(X.local_contributions(phi, cases, 10), "phi")
+
+
+def assessment_template(spark, sf):
+    _, w, cases, ids, phi = _phi(spark, sf)
+    return X.assessment_template(X.local_contributions(phi, cases, 3), _predicted(cases, w, ids), 3)
 
 
 def faithfulness_linear(spark, sf):
-    _, w, bg, cases = _attributed(spark, sf)
-    return _r(X.faithfulness(cases, X.linear_attributions(cases, w, bg), w, 3, "random"), "drop_top", "drop_random")
+    """Against five random removals, for several numbers of removed words."""
+    _, w, cases, ids, phi = _phi(spark, sf)
+    out = X.faithfulness_study(cases, phi, w, written(_predicted(cases, w, ids), "predicted"), [1, 3, 5, 10], 5, "random")
+    return _r(out, "drop_top", "drop_random", "flip_random", "advantage")
+
+
+def compactness_contrast(spark, sf):
+    """Complement against multinomial naive Bayes: are the former's attributions more compact?"""
+    v, w, cases, ids, _ = _phi(spark, sf)
+    d = _base(spark, sf)
+    bg = v.join(F.broadcast(S.stratified_sample(d.where("split = 'training'"), "record_id", [F.col("priority")], BACKGROUND, "background").select(F.col("record_id").alias("id"))), "id", "left_semi")
+    other = M.multinomial_nb_weights(_nb(d)[0], d.where("split = 'training'"), "record_id", "priority")
+    made = []
+    for weights in (w, written(other, "other")):
+        pred = _predicted(cases, weights, ids)
+        phi = _r(X.linear_attributions(cases, weights, bg, ids), "phi", digits=9).join(pred.withColumnRenamed("pred", "label"), ["id", "label"], "left_semi")
+        made.append(_r(written(X.compactness(phi), "compact"), "top_5_share", "top_10_share", "top_20_share", "entropy", digits=9))
+    return _r(X.compactness_contrast(*made, ids, 20, "contrast"), "observed", "low", "high", "p")
 
 
 def spearman_compare(spark, sf):
-    """Attributions against a background of all training rows and of the sample."""
-    v, w, bg, cases = _attributed(spark, sf)
-    return _r(X.compare_attributions(X.linear_attributions(cases, w, bg), X.linear_attributions(cases, w, v), ["label"]), "spearman")
+    """Attributions against a background of all rows and of the sample."""
+    v, w, bg, cases, ids = _attributed(spark, sf)
+    wide = v.join(cases.select("feature").distinct(), "feature")
+    rows = v.select("id").distinct().count()
+    mean = wide.groupBy("feature").agg((F.sum("value") / rows).alias("mean"))
+    full = cases.join(mean, "feature").join(w, "feature").select("id", "label", "feature", ((F.col("value") - F.col("mean")) * F.col("weight")).alias("phi"))
+    return _r(X.compare_attributions(X.linear_attributions(cases, w, bg, ids, absent=False).where("feature <> '<absent>'"), full, ["label"]), "spearman")
 
 
 def _fitted(spark, sf, kind, **params):
@@ -243,73 +301,104 @@ def _fitted(spark, sf, kind, **params):
     train, test = d.where("split = 'training'"), d.where("split <> 'training'")
     counts = written(_words(train), "train-words")
     n = train.count()
-    full = written(V.vocabulary(counts, 5, 200), "vocabulary")
+    full = written(V.vocabulary(counts, 5, TERMS), "vocabulary")
     vocab = full.select("feature")
     a, b = V.tfidf(counts, full, n), V.tfidf(_words(test), full, n)
+    of = {"ids": train.select(F.col("record_id").alias("id")), "asked_ids": test.select(F.col("record_id").alias("id"))}
     args = (a, b, vocab, d, "record_id", "priority", CLASSES)
-    pred = M.adaboost(*args, **params) if kind == "adaboost" else M.fit_predict(kind, *args, **params)
+    pred = M.adaboost(*args, **of, **params) if kind == "adaboost" else M.fit_predict(kind, *args, **of, **params)
     judged = pred.join(d.select(F.col("record_id").alias("id"), "priority"), "id")
     return E.summary_metrics(E.class_metrics(E.confusion(judged, "priority", "pred", CLASSES))).withColumn("model", F.lit(kind))
 
 
 def model_logistic(spark, sf):
-    return _fitted(spark, sf, "logistic", regParam=0.001)
+    return _fitted(spark, sf, "logistic", regParam=0.001, maxIter=100)
 
 
 def model_svm(spark, sf):
-    return _fitted(spark, sf, "svm", regParam=0.01, maxIter=8)
+    return _fitted(spark, sf, "svm", regParam=0.01, maxIter=100)
 
 
 def model_tree(spark, sf):
-    return _fitted(spark, sf, "tree", maxDepth=8)
+    return _fitted(spark, sf, "tree", maxDepth=12)
 
 
 def model_forest(spark, sf):
-    return _fitted(spark, sf, "forest", numTrees=20, maxDepth=8, seed=42)
+    return _fitted(spark, sf, "forest", numTrees=100, maxDepth=10, seed=42)
 
 
 def model_boosted(spark, sf):
-    return _fitted(spark, sf, "boosted", maxIter=3, maxDepth=3, seed=42)
+    return _fitted(spark, sf, "boosted", maxIter=20, maxDepth=4, seed=42)
 
 
 def model_adaboost(spark, sf):
-    return _fitted(spark, sf, "adaboost")
+    return _fitted(spark, sf, "adaboost", rounds=10)
 
 
-def tree_attribution(spark, sf):
-    """Exact and path attributions of a forest for records whose id is divisible by 50, compared by rank."""
+def _vectorized(spark, sf):
+    """Vectors over all words in five training records or more, the words, the records, and the ids of the cases."""
     d = _base(spark, sf)
     counts = written(_words(d), "words")
-    vocab = V.vocabulary(counts, 5, 60).select("feature")
-    vec, names = V.to_vectors(counts.join(vocab, "feature"), vocab)
+    train = counts.join(d.where("split = 'training'").select(F.col("record_id").alias("id")), "id", "left_semi")
+    vocab = V.vocabulary(train, 5, TERMS).select("feature")
+    vec, names = V.to_vectors(counts, vocab, d.select(F.col("record_id").alias("id")))
     y = (F.array_position(F.array(*[F.lit(c) for c in CLASSES]), F.col("priority")) - 1).cast("double")
-    data = written(vec.join(d.select(F.col("record_id").alias("id"), y.alias("label")), "id"), "tree-data")
-    model = M.estimator("forest", numTrees=5, maxDepth=4, seed=42).fit(data.select("features", "label"))
-    cases = data.where("id % 50 = 0")
-    return X.compare_attributions(X.tree_attributions(cases, model, names, CLASSES), X.tree_attributions(cases, model, names, CLASSES, exact=False), ["label"])
+    return written(vec.join(d.select(F.col("record_id").alias("id"), y.alias("label"), "split"), "id"), "vectors"), names, d
 
 
-def permutation_attribution(spark, sf):
-    """Permutation attributions of nearest-centroid probabilities over few features, records whose id is divisible by 50."""
-    d = _base(spark, sf)
-    counts = written(_words(d), "words")
-    vocab = V.vocabulary(counts, 5, 20).select("feature")
-    known = counts.join(vocab, "feature")
-    centres = {(r["priority"], r["feature"]): r["m"] for r in known.join(d.select(F.col("record_id").alias("id"), "priority"), "id").groupBy("priority", "feature").agg(F.avg("value").alias("m")).collect()}
-    vec, names = V.to_vectors(known, vocab)
-    c = np.array([[centres.get((k, f), 0.0) for f in names] for k in CLASSES])
+def _forest(spark, sf):
+    data, names, d = _vectorized(spark, sf)
+    model = M.estimator("forest", numTrees=20, maxDepth=6, seed=42).fit(data.where("split = 'training'").select("features", "label"))
+    cases = data.join(_case_ids(d, 30), "id", "left_semi")
+    return [written(X.tree_attributions(cases, model, names, CLASSES, exact=e), "tree") for e in (True, False)]
+
+
+def tree_attribution(spark, sf):
+    """Exact and path attributions of a forest for a sample of cases, compared by rank."""
+    return X.compare_attributions(*_forest(spark, sf), ["label"])
+
+
+def tree_case_metrics(spark, sf):
+    """The same two compared by the compactness of each case."""
+    return X.compare_case_metrics(*_forest(spark, sf))
+
+
+def _permuted(spark, sf, *settings):
+    """Permutation attributions of nearest-centroid probabilities for each (background rows per class, cycles)."""
+    data, names, d = _vectorized(spark, sf)
+    from pyspark.ml.stat import Summarizer
+
+    means = {int(r["label"]): r["m"].toArray() for r in data.where("split = 'training'").groupBy("label").agg(Summarizer.mean(F.col("features")).alias("m")).collect()}
+    c = np.array([means.get(k, np.zeros(len(names))) for k in range(len(CLASSES))])
 
     def score(rows: np.ndarray) -> np.ndarray:
-        far = ((rows[:, None] - c[None]) ** 2).sum(axis=2)
+        far = (rows**2).sum(axis=1)[:, None] - 2 * rows @ c.T + (c**2).sum(axis=1)
         e = np.exp(-far + far.min(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
-    phi = X.permutation_attributions(vec.where("id % 50 = 0"), np.vstack([np.zeros(len(names)), c.mean(axis=0)]), score, names, CLASSES, cycles=2)
-    return X.top_features(phi, 5)
+    cases = data.join(_case_ids(d, 10), "id", "left_semi")
+    train = d.where("split = 'training'")
+    out = []
+    for per_class, cycles in settings:
+        chosen = S.stratified_sample(train, "record_id", [F.col("priority")], per_class, "background").select(F.col("record_id").alias("id"))
+        rows = data.join(F.broadcast(chosen), "id", "left_semi").orderBy("id").collect()  # per_class rows of each class
+        out.append(written(X.permutation_attributions(cases.repartition(8), np.array([r["features"].toArray() for r in rows]), score, names, CLASSES, cycles), "permuted"))
+    return out
+
+
+def permutation_attribution(spark, sf):
+    return X.top_features(_permuted(spark, sf, (1, 2))[0], 15)
+
+
+def permutation_sensitivity(spark, sf):
+    """A larger background against a smaller one, and two cycles against one: rank correlation and compactness."""
+    base, small, short = _permuted(spark, sf, (2, 2), (1, 2), (2, 1))
+    parts = [X.compare_case_metrics(base, x).join(X.compare_attributions(base, x, []).select("spearman")).withColumn("setting", F.lit(n)) for n, x in (("background", small), ("cycles", short))]
+    return parts[0].unionByName(parts[1])
 
 
 def content_digest(spark, sf):
-    return A.content_hash(_t(spark, sf, "split_assignments"), ["modeling_row_id", "source_row_id", "semantic_group_id", "text_group_id", "priority", "split"]).select("rows")
+    return A.content_hash(_t(spark, sf, "split_assignments"), ["modeling_row_id", "source_row_id", "semantic_group_id", "text_group_id", "priority", "split"])
 
 
 def split_mismatches(spark, sf):
@@ -357,5 +446,5 @@ def integrity_audit(spark, sf):
 QUERIES = {f.__name__: f for f in (
     word_tfidf, char_wb_tfidf, chi2_top_k, feature_union_profile, majority_baseline, complement_nb_scores, knn_votes, confusion_matrix, class_metrics, model_summary, fold_metrics, model_ranking, fold_steps, pairwise_test, group_bootstrap_ci,
     group_contributions, holm_adjustment, linear_attribution, attribution_additivity, attribution_compactness, attribution_top, attribution_groups, local_contributions, faithfulness_linear, spearman_compare, model_logistic, model_svm, model_tree,
-    model_forest, model_boosted, model_adaboost, tree_attribution, permutation_attribution, content_digest, split_mismatches, upserted_reviews, only_one_side, review_summary, review_defects, integrity_audit,
+    model_forest, model_boosted, model_adaboost, tree_attribution, tree_case_metrics, permutation_attribution, permutation_sensitivity, compactness_summary, compactness_contrast, assessment_template, content_digest, split_mismatches, upserted_reviews, only_one_side, review_summary, review_defects, integrity_audit,
 )}
