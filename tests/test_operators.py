@@ -225,7 +225,6 @@ def test_models_beat_the_majority(spark):
     assert knn > 50
     boosted = models.adaboost(train, test, vocab, labels, "k", "y", ["p", "q", "r"], rounds=3, depth=4).join(labels, F.col("id") == F.col("k")).where("pred = y").count()
     assert boosted > 30
-    pass
     assert models.at_edge({"a": [1, 2, 3], "b": ["x"]}, {"a": 3, "b": "x"}) == {"a": True}
 
 

@@ -12,10 +12,14 @@ from pyspark.sql.types import StringType
 
 # Patterns of the data model.
 PLACEHOLDER = r"(?i)^(?:n/?a|none|null|nan|test|todo|placeholder|no description|not available|[-_.]+)$"
-URL = r"(?i)\b(?:https?://|www\.)\S+"
+URL = r"(?i)(?:https?://|www\.)[^\s<>()\[\]{}]+"
+URL_SIGNAL = r"(?i)https?://|www\."
 EMAIL = r"(?i)\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b"
-MARKUP = r"(?i)</?[a-z][^>]{0,200}>|&(?:nbsp|amp|lt|gt|quot|#\d{1,6});"
-STACK_TRACE = r"(?i)traceback \(most recent call last\)|\bat [\w.$]+\([\w.]+:\d+\)|\bexception in thread\b"
+TAG = r"<[^>]+>"
+MARKUP = r"(?i)<[^>]+>|\{code\}|\{noformat\}"
+STACK_TRACE = r"(?i)traceback|exception|\bat\s+[\w.$]+\([^)]*:\d+\)"
+CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+ZERO_WIDTH = r"[\x{200b}-\x{200d}\x{feff}]"
 LITERAL_ESCAPE = r"\\[nrt]"
 ANGLE_TOKEN = r"<[a-zA-Z_]{1,20}>"
 PROTECTED = ("name", "tel_num", "email_address", "url")
@@ -61,13 +65,13 @@ def normalize_markup(c: Column) -> Column:
     for name in PROTECTED:
         out = F.regexp_replace(out, rf"(?i)<{name}>", f"⦃{name}⦄")
     out = F.regexp_replace(out, r"(?i)<br\s*/?>", " ")
-    out = F.regexp_replace(out, r"</?[A-Za-z][^>]{0,200}>", " ")
+    out = F.regexp_replace(out, TAG, " ")
     for name in PROTECTED:
         out = F.replace(out, F.lit(f"⦃{name}⦄"), F.lit(f"<{name}>"))
     out = F.regexp_replace(out, URL, "<url>")
     out = F.regexp_replace(out, EMAIL, "<email_address>")
-    out = F.regexp_replace(out, r"[\x00-\x1f\x7f]", " ")
-    out = F.regexp_replace(out, r"[​‌‍⁠﻿]", "")
+    out = F.regexp_replace(out, CONTROL, " ")
+    out = F.regexp_replace(out, ZERO_WIDTH, "")
     return F.trim(F.regexp_replace(out, r"[\s ]+", " "))
 
 

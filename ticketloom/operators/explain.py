@@ -91,18 +91,6 @@ def group_shares(phi: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
     return per.withColumn("share", F.try_divide("m", F.sum("m").over(Window.partitionBy(*keys)))).drop("m")
 
 
-def faithfulness(values: DataFrame, phi: DataFrame, weights: DataFrame, k: int, seed: str | int) -> DataFrame:
-    """(id, label, drop_top, drop_random): loss of a linear score without the k strongest active features, and without k random ones by hash."""
-    active = phi.join(values.select("id", "feature", "value"), ["id", "feature"]).join(weights, ["feature", "label"])
-    case = Window.partitionBy("id", "label")
-    ranked = active.withColumns({
-        "t": F.row_number().over(case.orderBy(F.desc(F.round(F.abs("phi"), 9)), "feature")),
-        "u": F.row_number().over(case.orderBy(hash_u(F.concat_ws("|", F.col("id").cast("string"), "feature"), seed), "feature")),
-    })
-    lost = lambda c: F.sum(F.when(F.col(c) <= k, F.col("value") * F.col("weight")).otherwise(0.0))
-    return ranked.groupBy("id", "label").agg(lost("t").alias("drop_top"), lost("u").alias("drop_random"))
-
-
 def faithfulness_study(values: DataFrame, phi: DataFrame, weights: DataFrame, predicted: DataFrame, ks: list[int], repeats: int, seed: str | int) -> DataFrame:
     """(id, k, removed, drop_top, flip_top, drop_random, flip_random, advantage, stronger) per case and k, for a linear score.
 

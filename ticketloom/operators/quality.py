@@ -43,7 +43,7 @@ def signals(text: Column) -> dict[str, Column]:
     n, w = F.length(F.trim(t)), T.word_count(t)
     return {
         "placeholder": F.trim(t).rlike(T.PLACEHOLDER), "very_short": n.between(1, 20), "short": n.between(21, 40), "missing_whitespace": (w <= 2) & (n > 40),
-        "url": t.rlike(T.URL), "email": t.rlike(T.EMAIL), "markup": t.rlike(T.MARKUP), "stack_trace": t.rlike(T.STACK_TRACE), "literal_escape": t.rlike(T.LITERAL_ESCAPE),
+        "url": t.rlike(T.URL_SIGNAL), "email": t.rlike(T.EMAIL), "markup": t.rlike(T.MARKUP), "stack_trace": t.rlike(T.STACK_TRACE), "literal_escape": t.rlike(T.LITERAL_ESCAPE),
     }
 
 

@@ -95,23 +95,36 @@ def thousands(c: Column) -> Column:
     return F.translate(F.format_number(c, 0), ",", ".")
 
 
-def select_cases(votes: DataFrame, per_kind: int = 3) -> DataFrame:
-    """(kind, id, g) of rows to show: right by all models, wrong by all, and those where most models disagree; a group is shown once.
-
-    votes has id, g, actual, and right, wrong and kinds, the numbers of models
-    that are right and wrong and of different predictions. Kinds are served in
-    this order; the smaller id comes first. At most 3 times per_kind rows of
-    each kind reach the driver.
+def select_cases(votes: DataFrame, classes: tuple[str, str, str] = ("low", "medium", "high"), most: int = 12) -> DataFrame:
+    """(case_no, kind, id, g) of rows to show, each of another group: a group's row of the smallest id.
+
+    votes has id, g, actual, right (models that are right), models, kinds
+    (different predictions), and votes_<class>. In this order: right by all
+    models, one per class; typical, an outer class taken for the middle one by
+    two models or more, where the fewest are right; critical, an outer class
+    taken for the other one, by the most models; then disagreement, the most
+    different predictions first; then any row. Ties go to the smaller id. A
+    job per row shown, of which there are most; no row is lost to a limit.
     """
-    kinds = [("unanimous_right", F.col("wrong") == 0, [F.col("id")]), ("unanimous_wrong", F.col("right") == 0, [F.col("id")]), ("disagreement", F.col("kinds") > 1, [F.desc("kinds"), F.col("id")])]
-    used: set = set()
-    rows = []
-    for kind, admitted, order in kinds:
-        one = votes.where(admitted).groupBy("g").agg(F.min_by(F.struct("id", "kinds"), F.struct((-F.col("kinds")).alias("k"), "id")).alias("s")).select("g", "s.id", "s.kinds")
-        free = 0
-        for r in one.orderBy(*order).limit(3 * per_kind).collect():
-            if r["g"] not in used and free < per_kind:
-                used.add(r["g"])
-                rows.append((kind, r["id"], r["g"]))
-                free += 1
-    return votes.sparkSession.createDataFrame(rows, "kind string, id bigint, g string")
+    low, middle, high = classes
+    one = votes.groupBy("g").agg(F.min_by(F.struct(*[c for c in votes.columns if c != "g"]), "id").alias("r")).select("g", "r.*")
+    fewest, many = [F.col("right"), F.col("id")], lambda c: [F.desc(f"votes_{c}"), F.desc("kinds"), F.col("id")]
+    rules = [(f"unanimous_{c}", (F.col("actual") == c) & (F.col("right") == F.col("models")), [F.col("id")]) for c in classes]
+    rules += [(f"typical_{c}", (F.col("actual") == c) & (F.col(f"votes_{middle}") >= 2), fewest) for c in (low, high)]
+    rules += [(f"critical_{c}", (F.col("actual") == c) & (F.col(f"votes_{other}") >= 1), many(other)) for c, other in ((low, high), (high, low))]
+    rest = [("disagreement", F.col("kinds") > 1, [F.desc("kinds"), *fewest]), ("additional", F.lit(True), [F.col("id")])]
+    from ticketloom.session import written
+
+    one = written(one, "cases")
+    shown: list[tuple] = []
+    while len(shown) < most and (rules or rest):
+        kind, admitted, order = rules[0] if rules else rest[0]
+        free = one.where(admitted).join(votes.sparkSession.createDataFrame([(g,) for *_, g in shown], "g string"), "g", "left_anti") if shown else one.where(admitted)
+        row = free.orderBy(*order).limit(1).collect()
+        if row:
+            shown.append((len(shown) + 1, kind, row[0]["id"], row[0]["g"]))
+        if rules:
+            rules.pop(0)
+        elif not row:
+            rest.pop(0)
+    return votes.sparkSession.createDataFrame(shown, "case_no int, kind string, id bigint, g string")

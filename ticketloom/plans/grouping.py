@@ -59,7 +59,7 @@ def group_cohesion(spark, sf):
     """Cohesion of the components with two vectors or more."""
     e = _edges(spark, sf)
     g = connected_components(e).select(F.col("id").alias("vec_id"), F.col("component").alias("group_id"))
-    return L.cohesion(g, e, "vec_id", TAU).select("group_id", "pairs", *[F.round(c, 6).alias(c) for c in ("min_similarity", "median_similarity", "mean_similarity", "share_above")])
+    return L.cohesion(g, e, "vec_id", TAU).select("group_id", "pairs", *[F.round(c, 6).alias(c) for c in ("min_similarity", "p05_similarity", "median_similarity", "mean_similarity", "share_above")])
 
 
 def linkage_cohesion(spark, sf):
@@ -69,7 +69,35 @@ def linkage_cohesion(spark, sf):
 
 def grouping_summary(spark, sf):
     e = _edges(spark, sf)
-    return L.grouping_summary(_groups(spark, sf, e), e)
+    out = L.grouping_summary(_groups(spark, sf, e), e, "vec_id", TAU)
+    return out.withColumns({c: F.round(c, 6) for c in ("min_similarity", "min_share")})
+
+
+def linkage_invariants(spark, sf):
+    """Violations of complete linkage: members not linked, groups that could still merge, records lost."""
+    e, d = _edges(spark, sf), _t(spark, sf, "embeddings")
+    g = written(_groups(spark, sf, e), "groups")
+    pairs = lambda x: F.col(x) * (F.col(x) - 1) / 2
+    side = lambda x: g.select(F.col("vec_id").alias(x), F.col("group_id").alias("g" + x), F.col("group_size").alias("n" + x))
+    both = e.join(side("a"), "a").join(side("b"), "b")
+    inside = both.where("ga = gb").groupBy("ga").agg(F.count("*").alias("k"))
+    loose = g.where("group_size > 1").select("group_id", "group_size").distinct().join(inside, F.col("group_id") == F.col("ga"), "left").where(F.coalesce("k", F.lit(0)) != pairs("group_size"))
+    open_ = both.where("ga <> gb").groupBy(F.least("ga", "gb").alias("x"), F.greatest("ga", "gb").alias("y")).agg(F.count("*").alias("k"), F.max(F.col("na") * F.col("nb")).alias("n")).where("k = n")
+    n = lambda df, name: df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("invariant"), "violations")
+    return n(loose, "all pairs are linked").unionByName(n(open_, "no two groups can merge")).unionByName(n(d.join(g, "vec_id", "left_anti"), "every record has a group"))
+
+
+def group_names(spark, sf):
+    """Names of the components with two vectors or more."""
+    g = connected_components(_edges(spark, sf)).select(F.col("id").alias("vec_id"), F.col("component").alias("group_id"))
+    return L.group_names(g, "vec_id")
+
+
+def not_nested(spark, sf):
+    """Text groups that are spread over several semantic groups."""
+    d = _t(spark, sf, "customer_it_support_prepared")
+    hexed = lambda c: F.nullif(F.regexp_extract(F.lower(c), "([0-9a-f]{40})", 1), F.lit(""))
+    return L.not_nested(d.select(hexed("text_group_id").alias("text_group"), hexed("semantic_group_id").alias("semantic_group")), "text_group", "semantic_group")
 
 
 def _prepared(spark, sf):
@@ -126,7 +154,7 @@ def stratified_bootstrap_means(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    similarity_edges, nearest_neighbours, unit_norms, redundancy_summary, components, complete_linkage_groups, group_cohesion, linkage_cohesion, grouping_summary, stratified_sample, group_representatives, nested_background,
+    similarity_edges, nearest_neighbours, unit_norms, redundancy_summary, components, complete_linkage_groups, group_cohesion, linkage_cohesion, grouping_summary, linkage_invariants, group_names, not_nested, stratified_sample, group_representatives, nested_background,
     fold_balance, stratified_folds, split_leakage, design_summary, stratified_bootstrap_means,
 )}
 
@@ -141,7 +169,7 @@ ORACLES = {
     "unit_norms": "SELECT sum((coalesce(abs(sqrt(list_dot_product(embedding::double[], embedding::double[])) - 1) > 1e-4, true))::bigint)::bigint AS violations FROM embeddings",
     "redundancy_summary": f"WITH {_E} SELECT t AS threshold, (SELECT count(*) FROM edges WHERE similarity >= t) AS pairs, (SELECT count(DISTINCT v) FROM (SELECT unnest([a, b]) AS v, similarity FROM edges) WHERE similarity >= t) AS records, (SELECT count(*) FROM edges JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b WHERE similarity >= t AND x.label IS DISTINCT FROM y.label) AS conflicting FROM (SELECT unnest([{', '.join(f'{t}::double' for t in LEVELS)}]) AS t)",
     "components": f"WITH RECURSIVE {_E}, {_C} SELECT id, component FROM comp",
-    "group_cohesion": f"WITH RECURSIVE {_E}, {_C} SELECT component AS group_id, count(*) AS pairs, round(min(similarity), 6) AS min_similarity, round(quantile_cont(similarity, 0.5), 6) AS median_similarity, round(avg(similarity), 6) AS mean_similarity, round(avg((similarity >= {TAU} - 1e-6)::int), 6) AS share_above FROM edges JOIN comp ON id = a GROUP BY 1",
+    "group_cohesion": f"WITH RECURSIVE {_E}, {_C} SELECT component AS group_id, count(*) AS pairs, round(min(similarity), 6) AS min_similarity, round(quantile_cont(similarity, 0.05), 6) AS p05_similarity, round(quantile_cont(similarity, 0.5), 6) AS median_similarity, round(avg(similarity), 6) AS mean_similarity, round(avg((similarity >= {TAU} - 1e-6)::int), 6) AS share_above FROM edges JOIN comp ON id = a GROUP BY 1",
     "stratified_sample": f"SELECT record_id, priority, language FROM (SELECT *, row_number() OVER (PARTITION BY priority, language ORDER BY {sql_hash_u('record_id', 'review')}, record_id) AS r FROM {_P}) WHERE r <= 5",
     "group_representatives": f"SELECT g, min(record_id) AS record_id FROM {_P} WHERE g IS NOT NULL GROUP BY g",
     "nested_background": f"""
@@ -155,4 +183,7 @@ WITH d AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER B
 n AS (SELECT event_type, count(*) AS n FROM d GROUP BY 1),
 s AS (SELECT event_type, it AS iteration, {sql_hash_u("event_type || '-' || it || '-' || j", 'boot')} % n AS i FROM (SELECT *, unnest(range(n)) AS j FROM (SELECT *, unnest(range(20)) AS it FROM n)))
 SELECT iteration, event_type, round(avg(x), 6) AS mean FROM s JOIN d USING (event_type, i) GROUP BY 1, 2""",
+    "linkage_invariants": "SELECT unnest(['all pairs are linked', 'no two groups can merge', 'every record has a group']) AS invariant, 0::bigint AS violations",
+    "group_names": f"WITH RECURSIVE {_E}, {_C} SELECT component AS group_id, sha1('semantic_complete_linkage|' || string_agg(id::varchar, '|' ORDER BY id)) AS name FROM comp GROUP BY 1",
+    "not_nested": "SELECT text_group, count(DISTINCT semantic_group) AS outers FROM (SELECT nullif(regexp_extract(lower(text_group_id), '([0-9a-f]{40})', 1), '') AS text_group, nullif(regexp_extract(lower(semantic_group_id), '([0-9a-f]{40})', 1), '') AS semantic_group FROM customer_it_support_prepared) WHERE text_group IS NOT NULL AND semantic_group IS NOT NULL GROUP BY 1 HAVING count(DISTINCT semantic_group) > 1",
 }

@@ -72,7 +72,8 @@ def cased_types(spark, sf):
 
 
 def shown_cases(spark, sf):
-    p = _preds(spark, sf).groupBy(F.col("record_id").alias("id"), "g", F.col("priority").alias("actual")).agg(F.count_if(F.col("pred") == F.col("priority")).alias("right"), F.count_if(F.col("pred") != F.col("priority")).alias("wrong"), F.count_distinct("pred").alias("kinds"))
+    hit = F.col("pred") == F.col("priority")
+    p = _preds(spark, sf).groupBy(F.col("record_id").alias("id"), "g", F.col("priority").alias("actual")).agg(F.count_if(hit).alias("right"), F.count("*").alias("models"), F.count_distinct("pred").alias("kinds"), *[F.count_if(F.col("pred") == c).alias(f"votes_{c}") for c in CLASSES])
     return P.select_cases(p)
 
 

@@ -180,11 +180,11 @@ def _markup(c: str) -> str:
     out = f"regexp_replace({c}, '{T.LITERAL_ESCAPE}', ' ', 'g')"
     for name in T.PROTECTED:
         out = f"regexp_replace({out}, '(?i)<{name}>', '⦃{name}⦄', 'g')"
-    out = f"regexp_replace(regexp_replace({out}, '(?i)<br\\s*/?>', ' ', 'g'), '</?[A-Za-z][^>]{{0,200}}>', ' ', 'g')"
+    out = f"regexp_replace(regexp_replace({out}, '(?i)<br\\s*/?>', ' ', 'g'), '{T.TAG}', ' ', 'g')"
     for name in T.PROTECTED:
         out = f"replace({out}, '⦃{name}⦄', '<{name}>')"
     out = f"regexp_replace(regexp_replace({out}, '{T.URL}', '<url>', 'g'), '{T.EMAIL}', '<email_address>', 'g')"
-    out = f"regexp_replace(regexp_replace({out}, '[\\x00-\\x1f\\x7f]', ' ', 'g'), '[​‌‍⁠﻿]', '', 'g')"
+    out = f"regexp_replace(regexp_replace({out}, '{T.CONTROL}', ' ', 'g'), '{T.ZERO_WIDTH}', '', 'g')"
     return f"trim(regexp_replace({out}, '[\\s ]+', ' ', 'g'))"
 
 
@@ -196,7 +196,7 @@ def _stacked(pairs: list[tuple[str, str]], source: str, name: str = "indicator",
 _SIG = "(SELECT coalesce(body, '') AS t FROM aa_dataset_tickets)"
 _SIGNALS = [
     ("placeholder", f"regexp_matches(trim(t), '{T.PLACEHOLDER}')"), ("very_short", "length(trim(t)) BETWEEN 1 AND 20"), ("short", "length(trim(t)) BETWEEN 21 AND 40"), ("missing_whitespace", f"{_words('t')} <= 2 AND length(trim(t)) > 40"),
-    ("url", f"regexp_matches(t, '{T.URL}')"), ("email", f"regexp_matches(t, '{T.EMAIL}')"), ("markup", f"regexp_matches(t, '{T.MARKUP}')"), ("stack_trace", f"regexp_matches(t, '{T.STACK_TRACE}')"), ("literal_escape", f"regexp_matches(t, '{T.LITERAL_ESCAPE}')"),
+    ("url", f"regexp_matches(t, '{T.URL_SIGNAL}')"), ("email", f"regexp_matches(t, '{T.EMAIL}')"), ("markup", f"regexp_matches(t, '{T.MARKUP}')"), ("stack_trace", f"regexp_matches(t, '{T.STACK_TRACE}')"), ("literal_escape", f"regexp_matches(t, '{T.LITERAL_ESCAPE}')"),
 ]
 _KINDS = {"literal_escape": T.LITERAL_ESCAPE, "break_tag": r"(?i)<br\s*/?>", "entity": r"&(?:nbsp|amp|lt|gt|quot|#\d{1,6});", "url": T.URL, "email": T.EMAIL, "double_space": r"\s\s"}
 _PROFILED = ["subject", "priority", "language", "queue", "requester_id", *TAGS[:3]]
