@@ -86,3 +86,32 @@ def test_contrast_of_equal_explanations_is_zero(spark):
     strata = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(8)], "id bigint, stratum string")
     got = explain.compactness_contrast(c, c, strata, 5, "s").collect()
     assert len(got) == 5 and all(r["observed"] == r["low"] == r["high"] == 0 for r in got)
+
+
+def test_tables_are_replaced_whole(spark, tmp_path):
+    from ticketloom.sources import sinks
+
+    path = f"file://{tmp_path}/t"
+    sinks.replace_table(spark.range(3), path)
+    sinks.replace_table(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 5
+    bad = spark.range(3).select(F.raise_error(F.lit("no")).cast("bigint").alias("id"))
+    try:
+        sinks.replace_table(bad, path)
+        raise AssertionError
+    except Exception as problem:
+        assert not isinstance(problem, AssertionError)
+    assert spark.read.parquet(path).count() == 5 and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["t"]
+
+
+def test_vectors_as_numpy_files(spark, tmp_path):
+    import numpy as np
+
+    from ticketloom.sources import sinks
+
+    df = spark.createDataFrame([(i, [float(i), 0.5]) for i in range(9)] + [(None, [1.0, 1.0]), (99, None)], "vec_id bigint, v array<double>").repartition(3)
+    files = sinks.write_npy(df, "vec_id", "v", f"file://{tmp_path}/n").collect()
+    ids = np.concatenate([np.load(tmp_path / "n" / f["file"].replace(".npy", ".ids.npy")) for f in files])
+    rows = np.concatenate([np.load(tmp_path / "n" / f["file"]) for f in files])
+    assert sorted(ids.tolist()) == list(range(9)) and rows.dtype == np.float32 and (rows[:, 0] == ids).all() and sum(f["rows"] for f in files) == 9
+    assert sinks.write_npy(df.limit(0), "vec_id", "v", f"file://{tmp_path}/m").isEmpty()

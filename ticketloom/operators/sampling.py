@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ticketloom.functions.rng import SPAN, hash_u
 
 
+#: Different contributions of groups that a bootstrap takes.
+MOST_KINDS = 1 << 18
+
+
 def stratified_sample(df: DataFrame, key: str, strata: list[Column], n: int, seed: str | int) -> DataFrame:
     """Up to n rows of each stratum, by hash order of the key; key is unique. Null strata are strata.
 
@@ -66,11 +70,14 @@ def group_bootstrap(contributions: DataFrame, values: list[str], draws: int, see
     """(iteration, <values>): sums of per-group contributions over multinomial draws of groups, as many as there are.
 
     Groups with equal contributions are counted together first, so a draw is
-    one multinomial over few kinds and its cost does not grow with the groups.
+    one multinomial over few kinds and its cost does not grow with the groups;
+    ValueError beyond MOST_KINDS of them, which the driver and every task hold.
     Each iteration has a random stream of its own, so partitioning changes nothing.
     """
     spark = contributions.sparkSession
-    kinds = contributions.groupBy(*values).agg(F.count("*").alias("_k")).orderBy(*values).collect()
+    kinds = contributions.groupBy(*values).agg(F.count("*").alias("_k")).orderBy(*values).limit(MOST_KINDS + 1).collect()
+    if len(kinds) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} different contributions")
     table = np.array([[r[v] for v in values] for r in kinds], float).reshape(-1, len(values))
     n = np.array([r["_k"] for r in kinds], float)
     known = spark.sparkContext.broadcast((table, n))
