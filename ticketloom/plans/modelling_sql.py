@@ -132,4 +132,14 @@ d AS MATERIALIZED (SELECT id, stratum, row_number() OVER (PARTITION BY stratum O
 it AS (SELECT stratum, n, unnest(range(20)) AS iteration FROM n), jt AS (SELECT *, unnest(range(n)) AS j FROM it), dr AS (SELECT stratum, n, iteration, {sql_hash_u("stratum || '-' || iteration || '-' || j", 'contrast')} % n AS i FROM jt),
 mn AS (SELECT iteration, stratum, any_value(n) AS n, """ + ", ".join(f"avg({m}) AS {m}" for m, _ in _CONTRAST) + " FROM dr JOIN d USING (stratum, i) GROUP BY 1, 2), al AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, iteration, sum({m} * n) / sum(n) AS d FROM mn GROUP BY iteration" for m, _ in _CONTRAST) + "), ob AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, avg({m}) AS observed FROM d" for m, _ in _CONTRAST) + """),
 ce AS (SELECT metric, avg(d) AS c FROM al GROUP BY 1) SELECT metric, round(any_value(observed), 6) AS observed, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high, round(least(1.0, (1 + count(*) FILTER (d - c >= observed))::double / (1 + count(*))), 6) AS p FROM al JOIN ob USING (metric) JOIN ce USING (metric) GROUP BY metric""",
+    "integrity_audit": f"""WITH {_BASE}, {_PRED}, {_metrics('model')}, c AS (
+  SELECT 'data' AS category, 'record_id is unique' AS "check", 0.0 AS expected, (SELECT count(*) FROM (SELECT record_id FROM customer_it_support_prepared GROUP BY 1 HAVING count(*) > 1))::double AS v, 0.0 AS t
+  UNION ALL SELECT 'data', 'source_row_id is unique', 0, (SELECT count(*) FROM (SELECT source_row_id FROM customer_it_support_prepared GROUP BY 1 HAVING count(*) > 1)), 0
+  UNION ALL SELECT 'data', 'raw rows are delivered once', 0, (SELECT count(*) FROM (SELECT source_row_id FROM aa_dataset_tickets GROUP BY 1 HAVING count(*) > 1)), 0
+  UNION ALL SELECT 'data', 'prepared tickets exist', 0, (SELECT count(*) FROM customer_it_support_prepared ANTI JOIN aa_dataset_tickets USING (source_row_id)), 0
+  UNION ALL SELECT 'data', 'no empty text', 0, (SELECT count(*) FROM customer_it_support_prepared WHERE trim(coalesce(text_clean, '')) = ''), 0
+  UNION ALL SELECT 'split', 'share of training', 0.7, (SELECT avg((split = 'training')::int) FROM split_assignments), 0.05
+  UNION ALL SELECT 'split', 'no text group in two parts', 0, (SELECT count(*) FROM (SELECT text_group_id FROM split_assignments WHERE text_group_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT split) > 1)), 0
+  UNION ALL SELECT 'evaluation', 'alpha''s accuracy', 0.8, (SELECT round(accuracy, 6) FROM su WHERE model = 'alpha'), 0.03)
+SELECT category, "check", expected::double AS expected, round(v, 9) AS observed, CASE WHEN coalesce(abs(v - expected) <= t, false) THEN 'PASS' ELSE 'FAIL' END AS status FROM c""",
 }
