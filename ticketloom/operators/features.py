@@ -72,8 +72,9 @@ def tfidf(counts: DataFrame, vocab: DataFrame, rows: int | Column) -> DataFrame:
     """(id, feature, value): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), rows of length 1; n is the fitted number of rows."""
     n = F.lit(rows) if isinstance(rows, int) else rows
     raw = counts.join(vocab.select("feature", "df"), "feature").select("id", "feature", ((1 + F.log("value")) * (F.log((1 + n) / (1 + F.col("df"))) + 1)).alias("w"))
-    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
-    return raw.join(norm, "id").select("id", "feature", F.try_divide("w", "norm").alias("value"))
+    #: A row's features are brought together once, which is no more than its text was.
+    rows = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"), F.collect_list(F.struct("feature", "w")).alias("f"))
+    return rows.select("id", "norm", F.explode("f").alias("f")).select("id", "f.feature", F.try_divide("f.w", "norm").alias("value"))
 
 
 def one_hot(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
