@@ -28,10 +28,23 @@ def _fitted(spark, sf, sets, alphas):
     return d, values, rows, written(C.fold_weights(values, rows, FOLDS, alphas), "fs-weights")
 
 
-def _judged(values, rows, weights):
+def _judged(spark, sf, sets, alphas):
+    """Metrics of every candidate. Rows are scored one by one where they lie; only where an id has several rows, whose words count together, in long form."""
     keys = ["fs", "model", "alpha"]
-    held, train = (C.scores(C.predictions(values, rows, weights, part, FOLDS), CLASSES, [*keys, "fold"]) for part in ("held_out", "train"))
-    return C.grid_summary(held, train, keys)
+    train = _base(spark, sf).where("split = 'training'")
+    if train.where("record_id is not null").groupBy("record_id").count().where("count > 1").isEmpty():
+        known = V.tokens(F.when(F.col("record_id").isNotNull(), F.col("text_clean")))
+        own = [F.col("priority").alias("label"), (hash_u(F.col("g"), "cv") % FOLDS).cast("int").alias("fold")]
+        rows = written(C.coded(train.withColumns({c: F.when(F.col("record_id").isNotNull(), F.col(c)) for c in C.KINDS[1:]}), known, own), "cv-rows")
+        labels = sorted(r["label"] for r in rows.select("label").distinct().collect())  # a row per class
+        fits = C.FoldFits(rows, FOLDS, labels)
+        conf = written(C.fold_confusion(rows, fits, sets, alphas), "cv-confusion")
+        fits.discard()
+        held, trained = (C.confusion_scores(conf, part, CLASSES, [*keys, "fold"]) for part in ("held_out", "train"))
+    else:
+        _, values, rows, weights = _fitted(spark, sf, sets, alphas)
+        held, trained = (C.scores(C.predictions(values, rows, weights, part, FOLDS), CLASSES, [*keys, "fold"]) for part in ("held_out", "train"))
+    return C.grid_summary(held, trained, keys)
 
 
 _OUT = [f"{n}_{m}" for n in ("mean", "std") for m in C.METRICS] + ["train_macro_f1", "gap"]
@@ -39,13 +52,11 @@ _OUT = [f"{n}_{m}" for n in ("mean", "std") for m in C.METRICS] + ["train_macro_
 
 def cv_grid(spark, sf):
     """Every candidate over shared folds of groups, with training scores and gap."""
-    _, *fit = _fitted(spark, sf, ["FS1"], ALPHAS)
-    return _r(_judged(*fit), *_OUT).drop("fs")
+    return _r(_judged(spark, sf, ["FS1"], ALPHAS), *_OUT).drop("fs")
 
 
 def feature_set_choice(spark, sf):
-    _, *fit = _fitted(spark, sf, SETS, [0.5])
-    return _r(C.choose_feature_set(_judged(*fit)), *C.METRICS)
+    return _r(C.choose_feature_set(_judged(spark, sf, SETS, [0.5])), *C.METRICS)
 
 
 def oof_predictions(spark, sf):
