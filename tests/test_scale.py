@@ -23,3 +23,11 @@ def test_fold_confusion_is_that_of_the_long_form(spark):
         plain = lambda x: sorted((*t[:4], *(round(v, 9) for v in t[4:])) for t in x.collect())
         assert plain(ours) == plain(theirs) and ours.count() == 2 * 2 * 2 * 4
     fits.discard()
+
+
+def test_cv_grid_needs_no_long_form(spark, sf, monkeypatch):
+    from ticketloom.plans import crossval as plans
+
+    for name in ("fold_weights", "predictions", "feature_set_values"):
+        monkeypatch.setattr(crossval, name, None)
+    assert plans.cv_grid(spark, sf).count() == 2 * len(plans.ALPHAS)
