@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from ticketloom.operators import crossval, features
+from ticketloom.operators import crossval, features, models
 
 
 def test_fold_confusion_is_that_of_the_long_form(spark):
@@ -31,3 +31,19 @@ def test_cv_grid_needs_no_long_form(spark, sf, monkeypatch):
     for name in ("fold_weights", "predictions", "feature_set_values"):
         monkeypatch.setattr(crossval, name, None)
     assert plans.cv_grid(spark, sf).count() == 2 * len(plans.ALPHAS)
+
+
+def test_neighbours_are_those_of_all_pairs(spark, monkeypatch):
+    """In several blocks, with equal rows, a query without a shared word, values of either sign, and no pair in the plan."""
+    for name, value in (("QUERIES", 3), ("ROWS", 7), ("DENSE", 4)):
+        monkeypatch.setattr(models, name, value)
+    rng = random.Random(5)
+    for least in (0, -2):
+        rows = {i: {rng.randrange(12): float(rng.randint(least, 3) or 1) for _ in range(4)} for i in range(60)} | {90: {99: 1.0}}
+        v = spark.createDataFrame([(i, f"w{f}", x) for i, r in rows.items() for f, x in r.items()], "id bigint, feature string, value double")
+        got = models._nearest_sparse(models._packed_rows(v.where("id % 5 = 0")), models._packed_rows(v).repartition(3), 4).collect()
+        for q in [i for i in rows if i % 5 == 0]:
+            want = sorted((-round(sum(x * rows[t][f] for f, x in rows[q].items() if f in rows[t]), 9), t) for t in rows if t != q and rows[q].keys() & rows[t].keys())[:4]
+            assert sorted((-round(r["s"], 9), r["t"]) for r in got if r["q"] == q)[:4] == want
+    plan = models.neighbour_votes(v, v, spark.createDataFrame([(1, "a")], "k bigint, y string"), "k", "y")._jdf.queryExecution().toString()
+    assert "feature" not in plan.split("MapInArrow")[0]
