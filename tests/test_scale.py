@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from ticketloom.operators import crossval, features, models
+from ticketloom.operators import crossval, features, models, trees
 
 
 def test_fold_confusion_is_that_of_the_long_form(spark):
@@ -47,3 +47,18 @@ def test_neighbours_are_those_of_all_pairs(spark, monkeypatch):
             assert sorted((-round(r["s"], 9), r["t"]) for r in got if r["q"] == q)[:4] == want
     plan = models.neighbour_votes(v, v, spark.createDataFrame([(1, "a")], "k bigint, y string"), "k", "y")._jdf.queryExecution().toString()
     assert "feature" not in plan.split("MapInArrow")[0]
+
+
+def test_trees_are_those_of_spark_ml(spark, monkeypatch):
+    """Same predictions as Spark ML's estimators on rows that all are in the sample for thresholds; no row has a bin of every feature."""
+    rng = random.Random(3)
+    y = [rng.choice("pqr") for _ in range(300)]
+    rows = [(i, f"{y[i] if rng.random() < 0.6 else 'z'}{rng.randrange(5)}", rng.random() + 0.1) for i in range(300) for _ in range(4)]
+    values = spark.createDataFrame(rows, "id bigint, feature string, value double").groupBy("id", "feature").agg(F.sum("value").alias("value")).cache()
+    labels = spark.createDataFrame(list(enumerate(y)), "k bigint, y string")
+    args = (values.where("id % 4 <> 0"), values.where("id % 4 = 0"), values.select("feature").distinct(), labels, "k", "y", ["p", "q", "r"])
+    plain = lambda d: {r["id"]: r["pred"] for r in d.collect()}
+    monkeypatch.setattr(trees, "BLOCK", 50)
+    for ours, theirs in ((trees.boosted(*args, rounds=3, depth=3), models.fit_predict("boosted", *args, maxIter=3, maxDepth=3)), (trees.adaboost(*args, rounds=3), models.adaboost(*args, rounds=3))):
+        a, b = plain(ours), plain(theirs)
+        assert a.keys() == b.keys() and sum(a[k] == b[k] for k in a) >= 0.95 * len(a) > 70
