@@ -2,6 +2,8 @@
 
 import random
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from ticketloom.operators import crossval, features, models, trees
@@ -33,6 +35,33 @@ def test_cv_grid_needs_no_long_form(spark, sf, monkeypatch):
     assert plans.cv_grid(spark, sf).count() == 2 * len(plans.ALPHAS)
 
 
+@pytest.mark.parametrize("query", ["cv_grid", "feature_set_choice"])
+@pytest.mark.parametrize("case", ["in training", "across splits"])
+def test_rows_of_one_id_count_together_without_long_form(spark, sf, tmp_path, monkeypatch, query, case):
+    """Ids with several rows of other folds, labels and splits, none, or without a group: what the SQL gives, in small parts."""
+    from ticketloom.plans import crossval as plans
+
+    for name in ("fold_weights", "predictions", "feature_set_values"):
+        monkeypatch.setattr(crossval, name, None)
+    for name, value in (("ROWS", 7), ("TOKENS", 300), ("SCORED", 100)):
+        monkeypatch.setattr(crossval, name, value)
+    duck = duckdb.connect()
+    #: Across splits, an id has two rows, of which one is in the training part.
+    again = "source_row_id % 4" if case == "in training" else "row_number() OVER (PARTITION BY split = 'training' ORDER BY source_row_id)"
+    none = "source_row_id % 9 = 1" if case == "in training" else "false"
+    duck.execute(f"CREATE VIEW s AS SELECT source_row_id, min(split) AS split FROM '{sf}/split_assignments.parquet' GROUP BY 1")
+    duck.execute(f"COPY (SELECT p.* REPLACE (CASE WHEN NOT {none} THEN 100 + {again} * CASE WHEN source_row_id % 3 > 0 OR {case == 'across splits'} THEN 1 ELSE source_row_id END END AS record_id, CASE WHEN source_row_id % 5 > 0 THEN semantic_group_id END AS semantic_group_id) FROM '{sf}/customer_it_support_prepared.parquet' p JOIN s USING (source_row_id)) TO '{tmp_path}/customer_it_support_prepared.parquet'")
+    duck.execute(f"COPY (FROM '{sf}/split_assignments.parquet') TO '{tmp_path}/split_assignments.parquet'")
+    for name in ("customer_it_support_prepared", "split_assignments"):
+        duck.execute(f"CREATE VIEW {name} AS FROM '{tmp_path}/{name}.parquet'")
+    ids = duck.execute("SELECT count(record_id), count(DISTINCT record_id), count(DISTINCT record_id) FILTER (split = 'training'), count(record_id) FILTER (split = 'training') FROM customer_it_support_prepared JOIN s USING (source_row_id)").fetchone()
+    assert ids[1] < ids[0] and (ids[2] == ids[3]) == (case == "across splits")
+    want = duck.execute(plans.ORACLES[query])
+    columns = [c[0] for c in want.description]
+    plain = lambda rows: sorted(tuple(round(x, 5) if isinstance(x, float) else x for x in r) for r in rows)
+    assert plain(plans.QUERIES[query](spark, str(tmp_path)).select(*columns).collect()) == plain(want.fetchall())
+
+
 def test_neighbours_are_those_of_all_pairs(spark, monkeypatch):
     """In several blocks, with equal rows, a query without a shared word, values of either sign, and no pair in the plan."""
     for name, value in (("QUERIES", 3), ("ROWS", 7), ("DENSE", 4)):

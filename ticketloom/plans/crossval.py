@@ -29,21 +29,23 @@ def _fitted(spark, sf, sets, alphas):
 
 
 def _judged(spark, sf, sets, alphas):
-    """Metrics of every candidate. Rows are scored one by one where they lie; only where an id has several rows, whose words count together, in long form."""
+    """Metrics of every candidate. Rows are scored one by one where they lie; where an id has several rows, in or out of the training part, their words count together."""
     keys = ["fs", "model", "alpha"]
-    train = _base(spark, sf).where("split = 'training'")
-    if train.where("record_id is not null").groupBy("record_id").count().where("count > 1").isEmpty():
-        known = V.tokens(F.when(F.col("record_id").isNotNull(), F.col("text_clean")))
-        own = [F.col("priority").alias("label"), (hash_u(F.col("g"), "cv") % FOLDS).cast("int").alias("fold")]
-        rows = written(C.coded(train.withColumns({c: F.when(F.col("record_id").isNotNull(), F.col(c)) for c in C.KINDS[1:]}), known, own), "cv-rows")
+    d = _base(spark, sf)
+    fold = F.when(F.col("split") == "training", (hash_u(F.col("g"), "cv") % FOLDS).cast("int")).alias("fold")
+    known = [F.when(F.col("record_id").isNotNull(), F.col(c)).alias(c) for c in ("text_clean", *C.KINDS[1:])]
+    d = d.select(F.col("record_id").alias("id"), F.col("priority").alias("label"), fold, "split", *known)
+    train, words = d.where("split = 'training'"), V.tokens(F.col("text_clean"))
+    if d.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
+        rows = written(C.coded(train, words, [F.col("label"), F.col("fold")]), "cv-rows")
         labels = sorted(r["label"] for r in rows.select("label").distinct().collect())  # a row per class
-        fits = C.FoldFits(rows, FOLDS, labels)
-        conf = written(C.fold_confusion(rows, fits, sets, alphas), "cv-confusion")
-        fits.discard()
-        held, trained = (C.confusion_scores(conf, part, CLASSES, [*keys, "fold"]) for part in ("held_out", "train"))
     else:
-        _, values, rows, weights = _fitted(spark, sf, sets, alphas)
-        held, trained = (C.scores(C.predictions(values, rows, weights, part, FOLDS), CLASSES, [*keys, "fold"]) for part in ("held_out", "train"))
+        labels = sorted(r["label"] for r in train.select("label").distinct().collect())
+        rows = written(C.by_id(C.coded(d.drop("split").repartition("id").sortWithinPartitions("id"), words, [F.col("id"), F.col("label"), F.col("fold")]), FOLDS, labels), "cv-rows")
+    fits = C.FoldFits(rows, FOLDS, labels)
+    conf = written(C.fold_confusion(rows, fits, sets, alphas), "cv-confusion")
+    fits.discard()
+    held, trained = (C.confusion_scores(conf, part, CLASSES, [*keys, "fold"]) for part in ("held_out", "train"))
     return C.grid_summary(held, trained, keys)
 
 
